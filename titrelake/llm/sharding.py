@@ -144,16 +144,20 @@ def plan_shards(df: DataFrame, shards: int = 16, text: str = "text", tolerance:
     return ShardPlan(shards, rounds, shard_of, slot_of, bytes_of)
 
 
-def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", **options) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", returns: dict[str, Column] | None = None, **options) -> DataFrame:
     """df with shard (0 to shards-1, near-equal bytes) and slot (gapless from 0 in each shard, in key order).
 
     Null texts count as empty, with size 1. Columns named shard or slot are replaced. Equal rows share a key and
     get neighbouring slots. An empty table gives an empty result. Reruns agree whatever the partitioning.
+    returns: columns to give instead of df's own; they are computed before rows move, so that texts can stay.
     """
     df = without(df, ["shard", "slot"])
     plan = plan_shards(df, shards, text, **options)
-    names = df.columns
-    routed = _routed(_keys(df, text), plan.rounds)
+    names = list(returns or df.columns)
+    keyed = _keys(df, text)
+    if returns:
+        keyed = keyed.select(*[c.alias(n) for n, c in returns.items()], "__k0", "__k1", "__bytes")
+    routed = _routed(keyed, plan.rounds)
     at = F.col("__cell").cast("int")
     place = F.row_number().over(Window.partitionBy("__cell").orderBy("__k0", "__k1")) - 1
     return routed.withColumn("slot", (F.get(number_array(plan.slot_of), at) + place).cast("long")).select(*[F.col(f"`{c}`") for c in names], F.get(number_array(plan.shard_of, "int"), at).alias("shard"), "slot")
@@ -167,6 +171,6 @@ def write_shards(df: DataFrame, path: str, shards: int = 16, text: str = "text",
 def shard_report(df: DataFrame, shards: int = 16) -> DataFrame:
     """The contract of op10: law `bytes`, one row for each document."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = df.select("doc_id", "text", *[c for c in df.columns if c not in ("doc_id", "text")])
-    out = assign_shards(keyed, shards)
-    return out.select("doc_id", (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digest = {"doc_id": F.col("doc_id"), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body).cast("long")}
+    out = assign_shards(df, returns=digest)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
