@@ -104,9 +104,12 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
                 yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "pivot": near, "ring": (far / width).astype(int), "d": far})
 
     keyed = cut(wide.mapInPandas(place, "vec_id bigint, v array<bigint>, pivot int, ring int, d double"))
-    # rings are few (pivots times 65 or so), so their sizes can be joined by broadcast whatever the input
-    sizes = keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"))
-    parts = keyed.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / cell)).cast("int"))
+    # thin rings are few (pivots times 65 or so), so their sizes can be joined by broadcast whatever the input;
+    # neighbouring thin rings join into annuli of about `cell` rows
+    thin = keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pivot").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = thin.withColumn("annulus", F.floor(before / cell).cast("int")).withColumn("n", F.sum("n").over(Window.partitionBy("pivot", "annulus")))
+    parts = keyed.join(F.broadcast(sizes), ["pivot", "ring"]).withColumn("ring", F.col("annulus")).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / (2 * cell))).cast("int"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
