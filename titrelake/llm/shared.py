@@ -3,16 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import titrelake
-
-# Python workers get the functions themselves, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(titrelake)
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of checkpoints: the cluster's, or one of our own where none is set (tests)."""
@@ -28,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like cut, as a Parquet table in the checkpoint folder: for wide intermediates, which it compresses."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to add (case-insensitive, as Spark resolves)."""
     taken = {n.lower() for n in names}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, row_hash
+from .shared import cut_table, row_hash
 from .textarrays import slices
 
 UNITS = {
@@ -77,7 +77,7 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
             take = pa.array(np.array(rows, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("__row").take(take), *(pa.array(x, pa.int64()) for x in (place, start, end, n)), big(hi), big(lo)], names=["doc_id", "__row", "place", "start", "end", "n", "hi", "lo"])
 
-    units = cut(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start bigint, end bigint, n bigint, hi bigint, lo bigint"))
+    units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start bigint, end bigint, n bigint, hi bigint, lo bigint"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "place")
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = units.join(first, ["hi", "lo"]).where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id")).distinct()
