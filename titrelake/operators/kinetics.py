@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.math import bateman, curve_summary
 
@@ -70,7 +71,7 @@ def fit(days: np.ndarray, counts: np.ndarray, means: np.ndarray, steps: int = 20
     return best
 
 
-@F.pandas_udf("struct<base: double, amount: double, ka: double, ke: double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("base", "amount", "ka", "ke")]))
 def _fit(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for lists in it:
         out = []

@@ -57,7 +57,7 @@ def literature(records: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<name: string, text: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType())])))
 def article_sections(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sections of an article's XML in order: top-level sections of the body with all paragraphs below them.
     Malformed XML gives an empty list."""
