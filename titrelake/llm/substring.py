@@ -80,7 +80,10 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
     units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start bigint, end bigint, n bigint, hi bigint, lo bigint"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "place")
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = units.join(first, ["hi", "lo"]).where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id")).distinct()
+    later = units.join(first, ["hi", "lo"]).where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id"))
+    # only rows equal in all columns give a unit twice; without such rows the shuffle that drops them is saved
+    if not units.where("place = 0").groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+        later = later.distinct()
     in_doc = Window.partitionBy("doc_id", "__row").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(in_doc))
     passages = runs.groupBy("doc_id", "__row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.max("n").alias("longest"), F.min_by("kept_doc_id", "place").alias("kept_doc_id"))
