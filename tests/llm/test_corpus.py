@@ -196,6 +196,14 @@ def test_html_held_out_pages():
     assert html.main_text(page, chain) == "One & two three"
 
 
+def test_html_chain_of_the_query():
+    """The chain as op9 trains it, on more held-out pages than the small one above."""
+    chain, rng = html.train(), random.Random(5)
+    assert sum(html.main_text(p, chain) == a for p, a in (html.labelled_page(rng) for _ in range(200))) >= 190
+    page = "<nav><a href=x>Menu</a></nav><article><p>One &amp; two<br>three</p></article><footer>&copy; x</footer>"
+    assert html.main_text(page, chain) == "One & two three"
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
