@@ -196,6 +196,20 @@ def test_html_held_out_pages():
     assert html.main_text(page, chain) == "One & two three"
 
 
+def test_html_align_is_not_misled_by_first_words():
+    found = html.blocks("<title>Con du</title><nav><a>Con</a></nav><article><p>Con du</p><p>ba</p></article><p>ba no</p>")
+    assert html.align(found, "Con du ba") == [0, 0, 1, 1, 0] and html.align(found, "Con du bas") is None and html.align([], "") == []
+
+
+def test_html_edge_rows(spark):
+    rows = [(None, None, None, "x", 1), (1, "u", "", "x", 2), (2, "u", "<article><p>A good day, and it was long.</p></article>", None, 3), (2, "u", "<p>" * 3000, "y", 4), (3, None, "<article>" + "<p>Many words stand here, and more follow.</p>" * 20000, "z", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, Text string, N_CHARS int")
+    r = html.extract(d).collect()
+    assert html.extract(d).columns == ["page_id", "url", "text", "n_chars"] and len(r) == 5
+    assert (r[0].text, r[0].n_chars) == ("", 0) and r[1].text == "" and r[4].text.count("Many") == 20000 and r[4].n_chars == len(r[4].text)
+    assert html.page_report(d.limit(0)).count() == 0
+
+
 def test_html_chain_of_the_query():
     """The chain as op9 trains it, on more held-out pages than the small one above."""
     chain, rng = html.train(), random.Random(5)
