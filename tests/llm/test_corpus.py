@@ -187,6 +187,35 @@ def test_repeats_keep_the_first(spark):
     assert kept[1] == "Start. " + p + " End of one." and p not in kept[2] and kept[3] == "Clean text of its own."
 
 
+@pytest.mark.parametrize("hot", [1, 30, 10**6])
+def test_repeats_equal_brute_force(spark, hot):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
+    line = [" ".join(word() for _ in range(rng.choice([2, 6, 14, 70]))) + "." for _ in range(25)]
+    text = lambda: "".join(rng.choice([line[0], rng.choice(line), word() + " " + word() + "!"]) + rng.choice([" ", "\n", "\n\n"]) for _ in range(rng.randint(0, 12)))
+    rows = [(i, text(), "doc") for i in range(60)] + [(60, None, "a"), (61, "", "b"), (None, text(), None), (None, line[3] + " " + line[4], "c")]
+    rows += [rows[5], rows[5], (7, text(), "doc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hi string")
+    hashes = {(r.doc_id, r.text, r.hi): r.h for r in d.withColumn("h", substring.row_hash(d)).collect()}
+    first, want = {}, []
+    for doc in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r])):
+        raw = (doc[1] or "").encode()
+        run = []
+        for a, b, n, body in [*substring.units_of(raw), (0, 0, 0, None)]:
+            if body is not None and body in first:
+                run.append((a, b, n, first[body]))
+                continue
+            first.setdefault(body, doc[0])
+            words = sum(u[2] for u in run)
+            if words >= 20 and (words >= 50 or max(u[2] for u in run) >= 5):
+                want.append((doc[0], len(raw[: run[0][0]].decode()), len(raw[: run[-1][1]].decode()), words, len(run), run[0][3]))
+            run = []
+        first.pop(None, None)
+    got = [tuple(r) for r in substring.repeats(d, hot=hot).drop("__row").collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert len(want) > 30 and sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_html_held_out_pages():
     chain, rng = html.train(200), random.Random(77)
     good = sum(html.main_text(p, chain) == a for p, a in (html.labelled_page(rng) for _ in range(60)))

@@ -53,13 +53,14 @@ def units_of(text: bytes, unit: str = "sentence", longest: int = 24, anchor: int
             yield m.start() + start, m.start() + len(body.rstrip()), len(held), b" ".join(held)
 
 
-def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = 20) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = 20, hot: int = 1000) -> DataFrame:
     """(doc_id, __row, start, end, n_words, n_units, kept_doc_id): passages of at least min_words words whose units
-    all stand earlier, with one unit of five words or 50 words in all; start and end are code points of the original text, kept_doc_id holds the first unit's
-    earliest occurrence.
+    all stand earlier, with one unit of five words or 50 words in all; start and end are code points of the original
+    text, kept_doc_id holds the first unit's earliest occurrence.
 
     Documents rank by doc_id (null last), then by the hash of all columns; rows equal in all columns count as one
-    document. Null and empty texts have no units. Every unit of the whole text is hashed, however short.
+    document. Null and empty texts have no units. Every unit of the whole text is hashed, however short. Digests with
+    over 1/hot of all units are joined by broadcast (fewer than `hot` rows); results are the same for any `hot`.
     """
     named = df.withColumn("__row", row_hash(df)).select("doc_id", "__row", F.col(f"`{text}`").alias("__text"))
 
@@ -79,8 +80,16 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
 
     units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start bigint, end bigint, n bigint, hi bigint, lo bigint"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "place")
-    first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = units.join(first, ["hi", "lo"]).where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id"))
+    first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    # fewer than `hot` digests can hold over 1/hot of all units each, so these go by broadcast and their units stay where
+    # they are, whatever their number; the others meet in a join that no digest can dominate
+    over = F.col("times") * hot > units.count()
+    common = F.broadcast(first.where(over).drop("times"))
+    rare = first.where(~over).drop("times")
+    is_later = lambda joined: joined.where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id"))
+    # a left join and not an anti join: it reads all that the others read of `first`, so that all share one shuffle
+    others = units.join(common.withColumnRenamed("first", "held"), ["hi", "lo"], "left").where("held IS NULL").drop("held")
+    later = is_later(units.join(common, ["hi", "lo"])).unionByName(is_later(others.join(rare, ["hi", "lo"])))
     # only rows equal in all columns give a unit twice; without such rows the shuffle that drops them is saved
     if not units.where("place = 0").groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
         later = later.distinct()
