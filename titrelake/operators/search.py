@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine
-from ..functions.text import expand, raw_tokens, with_stem
+from ..functions.text import expand, raw_tokens, with_stem, words
 from ..schema import CITABLE
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -61,10 +61,33 @@ def ranked(scores: DataFrame, query_id: str, id_: str, k: int | None = None, sco
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; how a larger one is joined is left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def dense(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, vector: str = "embedding") -> DataFrame:
-    """Cosine of every query with every document. Queries are few and stated; documents stay where they are."""
+    """Cosine of every stated query with every document; documents stay where they are while queries are few."""
     q = queries.select(query_id, F.col(vector).alias("__q"))
-    return docs.select(id_, F.col(vector).alias("__d")).join(F.broadcast(q)).select(query_id, id_, cosine(F.col("__q"), F.col("__d")).alias("score"))
+    return docs.select(id_, F.col(vector).alias("__d")).join(small(q)).select(query_id, id_, cosine(F.col("__q"), F.col("__d")).alias("score"))
+
+
+def containing(passages: DataFrame, docs: DataFrame, passage_id: str, id_: str, passage: str = "text", text: str = "text") -> DataFrame:
+    """(passage_id, id) wherever a document's text holds a passage, without regard to case; nulls hold and give nothing.
+
+    A word inside a passage, with other characters on both sides, is a word of each text that holds it. So documents
+    are looked up by the longest such word and only those found are compared as a whole. Passages without one (a
+    word or two) are compared with every document.
+    """
+    p = passages.select(passage_id, F.lower(F.col(passage)).alias("__p"))
+    inner = F.regexp_extract_all("__p", F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
+    p = p.withColumn("__w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    d = docs.select(id_, F.lower(F.col(text)).alias("__t"))
+    words_ = d.select(id_, F.explode(F.array_distinct(words(F.col("__t")))).alias("__w"))
+    found = words_.join(p.where("__w IS NOT NULL"), "__w").join(d, id_).where(F.contains("__t", "__p"))
+    brief = p.where("__w IS NULL AND __p IS NOT NULL")
+    out = found.select(passage_id, id_)
+    return out if brief.isEmpty() else out.unionByName(d.join(small(brief), F.contains("__t", "__p")).select(passage_id, id_))
 
 
 def fuse(rankings: list[DataFrame], docs: DataFrame, query_id: str, id_: str, tags: list[str] | None = None, k: int = RRF) -> DataFrame:
