@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from titrelake import queries as q
 from titrelake.functions import text as tx
 from titrelake.functions.quotes import verify
-from titrelake.operators import comparability, kinetics
+from titrelake.operators import comparability, kinetics, search
 from titrelake.operators import measurements as ms
 from titrelake.operators.design import optimal_days
 from titrelake.plans import agent, evaluation, scenario
@@ -41,6 +41,23 @@ def test_oracle(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text("ab1 -É\n", max_size=12) | st.none(), max_size=8), st.lists(st.text("Ab1 -é\n", max_size=7) | st.none(), max_size=6))
+def test_containing_equals_brute_force(spark, docs, passages):
+    docs = [*docs, "One long word-list, ab 1 AB", "x"]
+    passages = [*passages, "long word-list", "ab", None, "g word-list, ab 1"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = {(i, j) for i, a in enumerate(passages) for j, b in enumerate(docs) if a is not None and b is not None and a.lower() in b.lower()}
+    got = [tuple(r) for r in search.containing(p, d, "item_id", "doc_id").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_small_is_checked(spark):
+    plan = lambda n: search.small(spark.range(5), n)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(5) and "broadcast" not in plan(4)
+
+
 def test_golden_pairs_and_symmetry(spark):
     pairs = evaluation.golden_pairs(spark)
     assert comparability.compare(pairs).where("verdict <> expected").count() == 0
