@@ -48,9 +48,14 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
 
 
 class Index:
-    """Walk tables of the items, one for each repetition."""
+    """Walk tables of the items, one for each repetition.
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, seed: int = 7) -> None:
+    Long and middling items have tables of their own, as a walk must mostly stay inside its item. Items of under
+    `brief` words allow so few edits that one of (edits + 1) pieces is whole: their walks always move on, over one
+    piece, and miss nothing.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, brief: int = 10, middling: int = 24, seed: int = 7) -> None:
         raw = [np.frombuffer((t or "").encode(), np.uint8) for _, t in items]
         offs = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         lowered = folded(np.concatenate(raw) if raw else np.zeros(0, np.uint8))
@@ -61,17 +66,28 @@ class Index:
         self.words = [inverse[rows == k].astype(np.int32) + 1 for k in range(len(items))]
         self.ids = [i for i, _ in items]
         self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
-        self.steps = steps
+        self.steps = max(steps, brief)
         rng = np.random.default_rng(seed)
         self.reps = []
-        entries = np.array([(n, o) for n, w in enumerate(self.words) for o in range(0, max(1, len(w) - shortest + 1), stride) if len(w)], dtype=np.int64).reshape(-1, 2)
-        lengths = np.array([len(w) + steps for w in self.words], dtype=np.int64)
-        padded = np.concatenate([*(np.append(w, np.zeros(steps, np.int32)) for w in self.words), np.zeros(1, np.int32)])
-        cursor = (np.cumsum(lengths) - lengths)[entries[:, 0]] + entries[:, 1] if len(entries) else np.zeros(0, np.int64)
-        for k in range(repetitions):
-            moves = rng.integers(0, 2, (steps, len(self.keys) + 1), dtype=np.int8)
-            at = np.sort(np.concatenate(([0], 1 + rng.permutation(steps - 1)[: samples - 1])))
-            seen = self.walk(padded, cursor, moves, at)
+        lengths = np.array([len(w) + self.steps for w in self.words], dtype=np.int64)
+        padded = np.concatenate([*(np.append(w, np.zeros(self.steps, np.int32)) for w in self.words), np.zeros(1, np.int32)])
+        begin = np.cumsum(lengths) - lengths
+        pieces, middle, long = defaultdict(list), [], []
+        for n, w in enumerate(self.words):
+            if 0 < len(w) < brief:
+                piece = max(1, len(w) // (self.most[n] + 1))
+                pieces[piece] += [(n, k * piece) for k in range(self.most[n] + 1) if (k + 1) * piece <= len(w)]
+            elif 0 < len(w) < middling:
+                middle += [(n, o) for o in range(max(1, len(w) - shortest // 2))]
+            elif len(w):
+                long += [(n, o) for o in range(0, max(1, len(w) - shortest + 1), stride)]
+        tables = [(e, piece, None) for piece, e in sorted(pieces.items())]
+        tables += [(e, s, m) for e, s, m in ((middle, steps // 2, samples // 2), (long, steps, samples)) if e for _ in range(repetitions)]
+        for e, s, m in tables:
+            entries = np.array(e, dtype=np.int64)
+            moves = np.ones((s, len(self.keys) + 1), np.int8) if m is None else rng.integers(0, 2, (s, len(self.keys) + 1), dtype=np.int8)
+            at = np.arange(s) if m is None else np.sort(np.concatenate(([0], 1 + rng.permutation(s - 1)[: m - 1])))
+            seen = self.walk(padded, begin[entries[:, 0]] + entries[:, 1], moves, at)
             firsts = [np.isin(np.arange(len(self.keys) + 1), x) for x in seen]
             keys, inverse = np.unique(self.key(seen), return_inverse=True)
             order = np.argsort(inverse, kind="stable")
