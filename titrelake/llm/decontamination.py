@@ -52,10 +52,10 @@ class Index:
 
     Long and middling items have tables of their own, as a walk must mostly stay inside its item. Items of under
     `brief` words allow so few edits that one of (edits + 1) pieces is whole: their walks always move on, over one
-    piece, and miss nothing.
+    piece, and miss nothing. middle_walks: steps, samples and repetitions for items of under `middling` words.
     """
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, brief: int = 10, middling: int = 24, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, brief: int = 10, middling: int = 24, middle_walks: tuple[int, int, int] = (8, 5, 5), seed: int = 7) -> None:
         raw = [np.frombuffer((t or "").encode(), np.uint8) for _, t in items]
         offs = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         lowered = folded(np.concatenate(raw) if raw else np.zeros(0, np.uint8))
@@ -66,7 +66,7 @@ class Index:
         self.words = [inverse[rows == k].astype(np.int32) + 1 for k in range(len(items))]
         self.ids = [i for i, _ in items]
         self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
-        self.steps = max(steps, brief)
+        self.steps = max(steps, brief, middle_walks[0])
         rng = np.random.default_rng(seed)
         self.reps = []
         lengths = np.array([len(w) + self.steps for w in self.words], dtype=np.int64)
@@ -82,12 +82,16 @@ class Index:
             elif len(w):
                 long += [(n, o) for o in range(0, max(1, len(w) - shortest + 1), stride)]
         tables = [(e, piece, None) for piece, e in sorted(pieces.items())]
-        tables += [(e, s, m) for e, s, m in ((middle, steps // 2, samples // 2), (long, steps, samples)) if e for _ in range(repetitions)]
+        tables += [(e, s, m) for e, s, m, times in ((middle, *middle_walks), (long, steps, samples, repetitions)) if e for _ in range(times)]
         for e, s, m in tables:
             entries = np.array(e, dtype=np.int64)
             moves = np.ones((s, len(self.keys) + 1), np.int8) if m is None else rng.integers(0, 2, (s, len(self.keys) + 1), dtype=np.int8)
             at = np.arange(s) if m is None else np.sort(np.concatenate(([0], 1 + rng.permutation(s - 1)[: m - 1])))
-            seen = self.walk(padded, begin[entries[:, 0]] + entries[:, 1], moves, at)
+            cursor = begin[entries[:, 0]] + entries[:, 1]
+            if m is not None:  # a walk that stays at its first words would find all places of a common word
+                going = self.walk(np.arange(len(padded)), cursor, moves, at, padded)[-1] - cursor >= 2
+                entries, cursor = entries[going], cursor[going]
+            seen = self.walk(padded, cursor, moves, at)
             firsts = [np.isin(np.arange(len(self.keys) + 1), x) for x in seen]
             keys, inverse = np.unique(self.key(seen), return_inverse=True)
             order = np.argsort(inverse, kind="stable")
@@ -101,13 +105,13 @@ class Index:
         return out
 
     @staticmethod
-    def walk(symbols: np.ndarray, cursor: np.ndarray, moves: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        seen = []
+    def walk(emitted: np.ndarray, cursor: np.ndarray, moves: np.ndarray, at: np.ndarray, symbols: np.ndarray | None = None) -> list[np.ndarray]:
+        """What stands in `emitted` under the cursors at the sampled steps, as `symbols` (by default the same) move them."""
+        symbols, seen = emitted if symbols is None else symbols, []
         for j in range(int(at[-1]) + 1):
-            s = symbols[cursor]
             if j in at:
-                seen.append(s)
-            cursor = cursor + moves[j][s]
+                seen.append(emitted[cursor])
+            cursor = cursor + moves[j][symbols[cursor]]
         return seen
 
     def candidates(self, symbols: np.ndarray) -> Iterator[tuple[int, int]]:
