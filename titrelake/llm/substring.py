@@ -2,13 +2,15 @@
 
 Units are normalised (A-Z lower-cased, white space squeezed) and hashed to 128 bits. Of all units with one digest
 the earliest, by document and then place, is kept. Neighbouring repeats in a document join into passages, and
-passages of enough words are removed, with their offsets in the original text.
+passages of enough words are removed, with their offsets in the original text. Shorter lines that stand earlier as whole
+lines are removed by a rule of their own.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,34 @@ UNITS = {
     "paragraph": re.compile(rb".*?(?:\n\s*\n|\Z)", re.S),
 }
 WORD = re.compile(rb"\S+")
-
-
-def units_of(text: bytes, unit: str = "sentence", longest: int = 24, anchor: int = 8) -> Iterator[tuple[int, int, int, bytes]]:
+#: The place of a text's first line among its units.
+LINES = 1 << 40
+
+
+def anchors(words: list[bytes], window: int) -> set[int]:
+    """Places of the words after which a long unit is cut: winnowing over hashes of three words (the word and the two
+    before it), so that each `window` words in a row hold one. Of equal hashes the last chosen one stays while it is in the
+    window: text that repeats itself is not cut at every word."""
+    h = list(map(xxhash.xxh64_intdigest, words))
+    h = [xxhash.xxh64_intdigest(b"%x %x %x" % (a, b, c)) for a, b, c in zip([0, 0, *h], [0, *h], h)]
+    out, at = set(), -1
+    for i in range(window - 1, len(h)):
+        if at <= i - window:
+            least = min(h[i - window + 1 : i + 1])
+            at = next(k for k in range(i, -1, -1) if h[k] == least)
+            out.add(at)
+        elif h[i] < h[at]:
+            at = i
+            out.add(at)
+    return out
+
+
+def units_of(text: bytes, unit: str = "sentence", longest: int = 24, window: int = 12) -> Iterator[tuple[int, int, int, bytes]]:
     """(start byte, end byte, words, normalised bytes) of each unit with words, in order.
 
-    Units of over `longest` words are cut after each word whose hash is divisible by `anchor`, so that a passage in
-    the middle of a long line is cut alike wherever it stands.
+    Units of over `longest` words are cut at anchors, of which each `window` words hold one, chosen by what stands in the
+    window alone: a passage in the middle of a long line is cut alike wherever it stands, but for its first window + 2
+    and its last window - 1 words at most.
     """
     for m in UNITS[unit].finditer(text):
         body = m[0].lower()
@@ -42,18 +65,27 @@ def units_of(text: bytes, unit: str = "sentence", longest: int = 24, anchor: int
         if len(words) <= longest:
             yield m.start() + lead, m.start() + len(body.rstrip()), len(words), b" ".join(words)
             continue
-        held, start = [], 0
-        for w in WORD.finditer(body):
+        held, start, cuts = [], 0, anchors(words, window)
+        for k, w in enumerate(WORD.finditer(body)):
             start = start if held else w.start()
             held.append(w[0])
-            if xxhash.xxh64_intdigest(w[0]) % anchor == 0:
+            if k in cuts:
                 yield m.start() + start, m.start() + w.end(), len(held), b" ".join(held)
                 held = []
         if held:
             yield m.start() + start, m.start() + len(body.rstrip()), len(held), b" ".join(held)
 
 
-def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = 20, hot: int = 1000) -> DataFrame:
+def short_lines(text: bytes, unit: str, line_words: int, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Like units_of, the lines of at least `line_words` words that are no passage by themselves, as wholes."""
+    for m in UNITS["line"].finditer(text):
+        words = m[0].lower().split()
+        if line_words <= len(words) < min_words or min_words <= len(words) < 50 and max(u[2] for u in units_of(m[0], unit)) < 5:
+            lead = len(m[0]) - len(m[0].lstrip())
+            yield m.start() + lead, m.start() + len(m[0].rstrip()), len(words), b"\n" + b" ".join(words)
+
+
+def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = 20, hot: int = 1000, line_words: int = 0) -> DataFrame:
     """(doc_id, __row, start, end, n_words, n_units, kept_doc_id): passages of at least min_words words whose units
     all stand earlier, with one unit of five words or 50 words in all; start and end are code points of the original
     text, kept_doc_id holds the first unit's earliest occurrence.
@@ -61,6 +93,7 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
     Documents rank by doc_id (null last), then by the hash of all columns; rows equal in all columns count as one
     document. Null and empty texts have no units. Every unit of the whole text is hashed, however short. Digests with
     over 1/hot of all units are joined by broadcast (fewer than `hot` rows); results are the same for any `hot`.
+    line_words: if not 0, a line of so many words or more that stands earlier as a whole line is one too, however short.
     """
     named = df.withColumn("__row", row_hash(df)).select("doc_id", "__row", F.col(f"`{text}`").alias("__text"))
 
@@ -70,7 +103,9 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
             rows, place, start, end, n, hi, lo = [], [], [], [], [], [], []
             for r, (i, j) in enumerate(zip(at, at[1:])):
                 points = np.concatenate(([0], np.cumsum((raw[i:j] & 0xC0) != 0x80))).astype(np.int64)  # code points before a byte
-                for k, (a, b, w, body) in enumerate(units_of(data[i:j], unit)):
+                whole = short_lines(data[i:j], unit, line_words, min_words) if line_words else ()
+                # lines have every second place, so that they never make a run
+                for k, (a, b, w, body) in chain(enumerate(units_of(data[i:j], unit)), zip(count(LINES, 2), whole)):
                     h = xxhash.xxh3_128_intdigest(body)
                     rows.append(r), place.append(k), n.append(w), hi.append(h >> 64), lo.append(h & (2**64 - 1))
                     start.append(int(points[a])), end.append(int(points[b]))
@@ -95,13 +130,18 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
         later = later.distinct()
     in_doc = Window.partitionBy("doc_id", "__row").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(in_doc))
-    passages = runs.groupBy("doc_id", "__row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.max("n").alias("longest"), F.min_by("kept_doc_id", "place").alias("kept_doc_id"))
-    return passages.where((F.col("n_words") >= min_words) & ((F.col("longest") >= 5) | (F.col("n_words") >= 50))).drop("run", "longest")
+    passages = runs.groupBy("doc_id", "__row", "run").agg(F.max(F.col("place") >= LINES).alias("line"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.max("n").alias("longest"), F.min_by("kept_doc_id", "place").alias("kept_doc_id"))
+    passages = passages.where(F.col("line") | (F.col("n_words") >= min_words) & ((F.col("longest") >= 5) | (F.col("n_words") >= 50)))
+    if line_words:  # all units of a repeated line stand earlier, so a passage holds the whole line or nothing of it
+        before = Window.partitionBy("doc_id", "__row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+        upto = F.max(F.when(~F.col("line"), F.col("end"))).over(before)
+        passages = passages.withColumn("upto", upto).where("NOT line OR upto IS NULL OR upto < end").drop("upto")
+    return passages.drop("run", "longest", "line")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", **options) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", line_words: int = 5, **options) -> DataFrame:
     """df with the repeated passages cut out of its texts and removed, the list of their original (start, end)."""
-    spans = repeats(df, text, **options).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    spans = repeats(df, text, line_words=line_words, **options).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     out = df.drop("removed").withColumn("__row", row_hash(df)).join(spans, "__row", "left")
     body = F.col(f"`{text}`")
     ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length(body).cast("long")))
@@ -111,5 +151,5 @@ def remove_repeats(df: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def repeat_report(df: DataFrame) -> DataFrame:
-    """One row for each passage that deduplication removes."""
-    return repeats(df.select("doc_id", "text")).drop("__row")
+    """One row for each passage or whole line of five words or more that deduplication removes."""
+    return repeats(df.select("doc_id", "text"), line_words=5).drop("__row")
