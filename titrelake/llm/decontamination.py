@@ -55,7 +55,7 @@ class Index:
     piece, and miss nothing. middle_walks: steps, samples and repetitions for items of under `middling` words.
     """
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, brief: int = 10, middling: int = 24, middle_walks: tuple[int, int, int] = (8, 5, 5), seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, repetitions: int = 3, samples: int = 6, steps: int = 14, stride: int = 3, shortest: int = 8, brief: int = 10, middling: int = 51, middle_walks: tuple[int, int, int] = (8, 5, 5), seed: int = 7) -> None:
         raw = [np.frombuffer((t or "").encode(), np.uint8) for _, t in items]
         offs = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         lowered = folded(np.concatenate(raw) if raw else np.zeros(0, np.uint8))
