@@ -1,14 +1,18 @@
-"""License scan: an exact containment join of text blocks (lines) with license templates.
+"""License scan: an exact containment join of text blocks (runs of neighbouring lines) with license templates.
 
 Tokens are ordered by their frequency in the whole corpus, rare first. A block that contains a share t of a
 template of n tokens has at least one of its n - ceil(t*n) + 1 rarest tokens (prefix filter) and at least
 ceil(t*n) words (length filter), and what follows the first shared token must suffice for the rest (positional
 filter). What is left is verified. The filters lose nothing.
+
+A block is a line and those after it until these have as many words as the template: a notice that starts in the line
+is in the block however it is wrapped.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
@@ -103,6 +107,7 @@ class Join:
         for k, (_, s) in enumerate(self.templates):
             for place, token in enumerate(s[: len(s) - self.need[k] + 1]):
                 self.by_prefix[token].append((k, place))
+        self.words = [len(words_of(t)) for _, t in templates]
         self.in_prefix = np.zeros(len(counts), bool)
         self.in_prefix[list(self.by_prefix)] = True
 
@@ -121,11 +126,47 @@ class Join:
                 if share >= self.need[k]:
                     yield k, share / len(template)
 
+    def runs(self, ranks: np.ndarray, hits: np.ndarray, first: list[int]) -> Iterator[tuple[int, int, float]]:
+        """(template, line, containment) of the blocks of one text that contain a template and need their first line for it.
+
+        ranks and hits: the vocabulary words and their places in the text; first: the place of each line's first word, and
+        the text's length at last.
+        """
+
+        def share(k: int, start: int, end: int) -> float:
+            a, b = np.searchsorted(hits, [first[start], first[end]])
+            return dict(self.matches(sorted(set(ranks[a:b].tolist())), first[end] - first[start])).get(k, 0.0)
+
+        tried = defaultdict(int)  # by template: blocks that start before this line are done
+        found = defaultdict(list)
+        for i in np.flatnonzero(self.in_prefix[ranks]).tolist():
+            line = bisect_right(first, int(hits[i])) - 1
+            for k, _ in self.by_prefix[int(ranks[i])]:
+                end = lambda start: min(len(first) - 1, bisect_left(first, first[start + 1] + self.words[k]))  # noqa: B023, E731
+                lo = max(tried[k], bisect_right(first, first[line] - self.words[k]) - 1)
+                tried[k] = max(tried[k], line + 1)
+                if lo > line or not share(k, lo, end(line)):
+                    continue
+                for start in range(lo, line + 1):
+                    best = share(k, start, end(start))
+                    if not best:
+                        continue
+                    upto = next(e for e in range(start + 1, end(start) + 1) if share(k, start, e) == best)
+                    if start + 1 < upto and share(k, start + 1, upto) == best:
+                        continue
+                    if found[k] and found[k][-1][1] > start:  # the rest of a notice that starts before, or its better part
+                        if found[k][-1][2] >= best:
+                            continue
+                        found[k].pop()
+                    found[k].append((start, upto, best))
+        for k, got in sorted(found.items()):
+            yield from ((k, start, best) for start, _, best in got)
+
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
     """The kept columns with n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
-    matches lists the lines (line, label, containment) that contain a template to the threshold; score is the
+    matches lists the blocks (their first line, label, containment) that contain a template to the threshold; score is the
     largest containment, 1 where a phrase stands, else 0. Null and empty texts give zero counts and empty labels.
     """
     vocabulary = Vocabulary(templates, phrases)
@@ -155,15 +196,14 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                     base_labels[r].add(label)
                     score[r] = 1.0
             ranks = join.rank[page.ids[page.hits]] if len(page.hits) else np.zeros(0, np.int64)
-            lines = page.line[page.hits]
-            for line in np.unique(lines[join.in_prefix[ranks]]).tolist() if len(ranks) else ():
-                a, b = np.searchsorted(lines, [line, line + 1])
-                r = int(page.rows[page.hits[a]])
-                lo, hi = np.searchsorted(page.line, [line, line + 1])
-                for k, share in join.matches(sorted(set(ranks[a:b].tolist())), int(hi - lo)):
+            for r in np.unique(page.rows[page.hits[join.in_prefix[ranks]]]).tolist():
+                lo, hi = page.first[r], page.first[r + 1]
+                a, b = np.searchsorted(page.hits, [lo, hi])
+                lines, starts = np.unique(page.line[lo:hi], return_index=True)
+                for k, at, share in join.runs(ranks[a:b], page.hits[a:b] - lo, [*starts.tolist(), int(hi - lo)]):
                     labels[r].add(join.templates[k][0])
                     score[r] = max(score[r], share)
-                    found[r].append({"line": line - int(page.line[page.first[r]]), "label": join.templates[k][0], "containment": share})
+                    found[r].append({"line": int(lines[at] - lines[0]), "label": join.templates[k][0], "containment": share})
             none = pa.array(first < 0)
             empty = pa.scalar(None, pa.int64())
             text_of = lambda sets: pa.array([",".join(sorted(sets)) for sets in sets])
