@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of the HTML standard by role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup svg time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|xmp"
+#: Raw text to the end tag or the page's end; of xmp it is shown.
+RAW = "script|style|textarea|iframe"
+#: Left out with all that is in them, if they have an end tag.
+HOLDERS = ("noscript", "template", "svg", "select")
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MARKED = frozenset("nav header footer aside article main section form ul ol table figure figcaption head title blockquote pre button fieldset dialog menu address details h1 h2 h3 h4 h5 h6 li td p div body a".split())
@@ -40,7 +43,11 @@ FAMILIES = {
 }
 FAMILY = {w: k for k, ws in FAMILIES.items() for w in ws.split()}
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<xmp\b[^>]*>(?P<xmp>.*?)(?:</xmp\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
+    re.S | re.I,
+)
+HELD = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW}|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>{'|'.join(HOLDERS)})(?![^\s/>])(?P<attrs>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role|data-testid|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -77,9 +84,24 @@ def _place_words(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _held(html: str) -> dict[int, int]:
+    """Where the elements of HOLDERS start and end; without those that have no end tag or are closed in themselves."""
+    out, opened = {}, {t: [] for t in HOLDERS}
+    for m in HELD.finditer(html):
+        if not m["tag"]:
+            continue
+        starts = opened[m["tag"].lower()]
+        if not m["end"]:
+            if m["tag"].lower() != "svg" or not m["attrs"].endswith("/"):
+                starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 def blocks(html: str | None, known: dict | None = None) -> list[Block]:
     """The leaf blocks of a page in order; broken markup is read as browsers do, near enough: unclosed elements end
-    with an ancestor, stray end tags are ignored, an unclosed comment or script runs to the end.
+    with an ancestor, stray end tags are ignored, an unclosed comment or script runs to the end, an unclosed svg does not.
     known: a memo of places, kept from page to page."""
     html, out = html or "", []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -106,7 +128,8 @@ def blocks(html: str | None, known: dict | None = None) -> list[Block]:
             text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(html):
+    held = None
+    for m in iter(lambda: TOKEN.search(html, at), None):
         if m.start() > at:
             piece = html[at : m.start()]
             text.append(piece)
@@ -114,9 +137,19 @@ def blocks(html: str | None, known: dict | None = None) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
+            if m["xmp"]:
+                flush()
+                text.append(m["xmp"].replace("&", "&amp;"))
+                linked += len(m["xmp"]) if in_link else 0
+                flush()
             continue
         tag = tag.lower()
         closing = m["end"] or m["end2"]
+        if tag in HOLDERS and not closing:
+            held = _held(html) if held is None else held
+            if m.start() in held:
+                at = held[m.start()]
+                continue
         if tag == "br":
             text.append(" ")
             continue
