@@ -80,8 +80,10 @@ def links(fps: DataFrame, radius: int = 3, entry: int = 2048) -> DataFrame:
     """fps (fp long, distinct) to a spanning set (a, b) of the links within `radius` (3 at most).
 
     Table entries with over `entry` fingerprints are split by the pieces of 8 bits of the other half: of four
-    pieces at least one is equal, so nothing is lost.
+    pieces at least one is equal, so nothing is lost. A larger radius is refused: halves and balls would miss links.
     """
+    if radius > 3:
+        raise ValueError(f"links() finds all links within 3 bits, not within {radius}")
     half = lambda x, k: F.shiftrightunsigned(x, 32) if k else x.bitwiseAND(F.lit(0xFFFFFFFF))
     halves = F.array(*[F.struct(F.lit(k).alias("half"), half(F.col("fp"), k).alias("key")) for k in (0, 1)])
     table = fps.select("fp", F.inline(halves)).select("half", "key", "fp")
