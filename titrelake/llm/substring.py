@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_table, row_hash
+from .shared import cut_table, row_hash, without
 from .textarrays import slices
 
 UNITS = {
@@ -85,48 +85,83 @@ def short_lines(text: bytes, unit: str, line_words: int, min_words: int) -> Iter
             yield m.start() + lead, m.start() + len(m[0].rstrip()), len(words), b"\n" + b" ".join(words)
 
 
+def _places(stream: Iterator[tuple[int, int, int, bytes]], raw: np.ndarray, first: int, step: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, start, end, words, digest halves) of the units of one text in blocks; start and end become code points.
+
+    Only the bytes between neighbouring unit edges are counted, so that a long text needs no array of its own length.
+    """
+    held = iter(stream)
+    byte, point, k = 0, 0, 0
+    while got := list(islice(held, block)):
+        edges = np.array([e for u in got for e in u[:2]], dtype=np.int64)
+        inner = raw[byte : edges[-1]]
+        tails = np.concatenate(([0], np.cumsum((inner & 0xC0) == 0x80, dtype=np.int32)))[edges - byte]
+        points = point + (edges - byte) - tails
+        digests = [xxhash.xxh3_128_digest(u[3]) for u in got]
+        halves = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        yield first + step * np.arange(k, k + len(got)), points[0::2], points[1::2], np.array([u[2] for u in got], dtype=np.int64), halves[:, 0], halves[:, 1]
+        byte, point, k = int(edges[-1]), int(points[-1]), k + len(got)
+
+
+def _one_each(df: DataFrame) -> bool:
+    """Whether doc_id alone tells the rows apart: never null, never repeated."""
+    return df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def _row(df: DataFrame, alone: bool | None = None) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.lit(0).cast("long") if (_one_each(df) if alone is None else alone) else row_hash(df)
+
+
 def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words: int = 20, hot: int = 1000, line_words: int = 0) -> DataFrame:
     """(doc_id, __row, start, end, n_words, n_units, kept_doc_id): passages of at least min_words words whose units
     all stand earlier, with one unit of five words or 50 words in all; start and end are code points of the original
     text, kept_doc_id holds the first unit's earliest occurrence.
 
-    Documents rank by doc_id (null last), then by the hash of all columns; rows equal in all columns count as one
-    document. Null and empty texts have no units. Every unit of the whole text is hashed, however short. Digests with
-    over 1/hot of all units are joined by broadcast (fewer than `hot` rows); results are the same for any `hot`.
+    Documents rank by doc_id (null last), then by the hash of all columns (__row; 0 where every doc_id is there and
+    stands once); rows equal in all columns count as one document. Null and empty texts have no units. Every unit of the
+    whole text is hashed, however short. A digest's units meet in one task, but for the at most `hot` most frequent
+    digests, whose earliest units go by broadcast and whose others stay where they are; results are the same for any `hot`.
     line_words: if not 0, a line of so many words or more that stands earlier as a whole line is one too, however short.
     """
-    named = df.withColumn("__row", row_hash(df)).select("doc_id", "__row", F.col(f"`{text}`").alias("__text"))
+    alone = _one_each(df)
+    named = df.select("doc_id", _row(df, alone).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    names = ["doc_id", "__row", "place", "start", "end", "n", "hi", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(part: pa.RecordBatch, rows: list, got: list) -> pa.RecordBatch:
+            take = pa.array(np.repeat(rows, [len(g[0]) for g in got]))
+            place, start, end, n, hi, lo = (np.concatenate(x) for x in zip(*got))
+            small = [pa.array(x.astype(np.int32)) for x in (start, end, n)]
+            return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("__row").take(take), pa.array(place), *small, pa.array(hi), pa.array(lo)], names=names)
+
         for part, raw, offs in slices(batches, "__text"):
             data, at = raw.tobytes(), offs.tolist()
-            rows, place, start, end, n, hi, lo = [], [], [], [], [], [], []
+            rows, got = [], []
             for r, (i, j) in enumerate(zip(at, at[1:])):
-                points = np.concatenate(([0], np.cumsum((raw[i:j] & 0xC0) != 0x80))).astype(np.int64)  # code points before a byte
-                whole = short_lines(data[i:j], unit, line_words, min_words) if line_words else ()
+                body = data[i:j]
                 # lines have every second place, so that they never make a run
-                for k, (a, b, w, body) in chain(enumerate(units_of(data[i:j], unit)), zip(count(LINES, 2), whole)):
-                    h = xxhash.xxh3_128_intdigest(body)
-                    rows.append(r), place.append(k), n.append(w), hi.append(h >> 64), lo.append(h & (2**64 - 1))
-                    start.append(int(points[a])), end.append(int(points[b]))
-            big = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            take = pa.array(np.array(rows, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("__row").take(take), *(pa.array(x, pa.int64()) for x in (place, start, end, n)), big(hi), big(lo)], names=["doc_id", "__row", "place", "start", "end", "n", "hi", "lo"])
-
-    units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start bigint, end bigint, n bigint, hi bigint, lo bigint"))
+                lines = _places(short_lines(body, unit, line_words, min_words), raw[i:j], LINES, 2) if line_words else ()
+                for g in chain(_places(units_of(body, unit), raw[i:j], 0, 1), lines):
+                    rows.append(r), got.append(g)
+                    if len(g[0]) == 1 << 15:
+                        yield batch(part, rows, got)
+                        rows, got = [], []
+            if got:
+                yield batch(part, rows, got)
+
+    units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start int, end int, n int, hi bigint, lo bigint"))
+    # a sketch names the candidates for frequent digests, at most `hot`; which ones it names changes no result
+    top = units.agg(F.expr(f"approx_top_k(lo, {hot}, {max(1 << 15, hot)})").alias("top")).first().top or []
+    frequent = F.broadcast(units.sparkSession.createDataFrame([(t[0],) for t in top], "lo bigint").distinct())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "place")
-    first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    # fewer than `hot` digests can hold over 1/hot of all units each, so these go by broadcast and their units stay where
-    # they are, whatever their number; the others meet in a join that no digest can dominate
-    over = F.col("times") * hot > units.count()
-    common = F.broadcast(first.where(over).drop("times"))
-    rare = first.where(~over).drop("times")
-    is_later = lambda joined: joined.where(rank > F.col("first")).select("doc_id", "__row", "place", "start", "end", "n", F.col("first.doc_id").alias("kept_doc_id"))
-    # a left join and not an anti join: it reads all that the others read of `first`, so that all share one shuffle
-    others = units.join(common.withColumnRenamed("first", "held"), ["hi", "lo"], "left").where("held IS NULL").drop("held")
-    later = is_later(units.join(common, ["hi", "lo"])).unionByName(is_later(others.join(rare, ["hi", "lo"])))
-    # only rows equal in all columns give a unit twice; without such rows the shuffle that drops them is saved
-    if not units.where("place = 0").groupBy("doc_id", "__row").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+    common = F.broadcast(units.join(frequent, "lo").groupBy("hi", "lo").agg(F.min(rank).alias("first")))
+    keep = ["doc_id", "__row", "place", "start", "end", "n"]
+    far = units.join(common, ["hi", "lo"]).where(rank > F.col("first")).select(*keep, F.col("first.doc_id").alias("kept_doc_id"))
+    same = Window.partitionBy("hi", "lo").orderBy(F.col("doc_id").asc_nulls_last(), "__row", "place")
+    near = units.join(frequent, "lo", "left_anti").select(*keep, F.first("doc_id").over(same).alias("kept_doc_id"), F.rank().over(same).alias("nth")).where("nth > 1").drop("nth")
+    later = far.unionByName(near)
+    if not alone:  # rows equal in all columns give each unit once
         later = later.distinct()
     in_doc = Window.partitionBy("doc_id", "__row").orderBy("place")
     runs = later.withColumn("run", F.col("place") - F.row_number().over(in_doc))
@@ -136,18 +171,26 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
         before = Window.partitionBy("doc_id", "__row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
         upto = F.max(F.when(~F.col("line"), F.col("end"))).over(before)
         passages = passages.withColumn("upto", upto).where("NOT line OR upto IS NULL OR upto < end").drop("upto")
-    return passages.drop("run", "longest", "line")
+    return passages.drop("run", "longest", "line").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
 
 
 def remove_repeats(df: DataFrame, text: str = "text", line_words: int = 5, **options) -> DataFrame:
-    """df with the repeated passages cut out of its texts and removed, the list of their original (start, end)."""
-    spans = repeats(df, text, line_words=line_words, **options).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    out = df.drop("removed").withColumn("__row", row_hash(df)).join(spans, "__row", "left")
-    body = F.col(f"`{text}`")
-    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length(body).cast("long")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda s: s["end"]))
+    """df with the repeated passages cut out of its texts and removed, the list of their original (start, end).
+
+    A column named removed is replaced; other columns stay as they are, whatever their names. Null texts stay null.
+    """
+    df = without(df, ["removed"])
+    spans = repeats(df, text, line_words=line_words, **options).groupBy("doc_id", "__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__hash"), "__spans")
+    # doc_id and row hash together, so that of two documents none can take the other's offsets
+    rows = df.select(F.col("doc_id").alias("__doc"), _row(df).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__all"))
+    out = rows.join(spans, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
+    body, cuts = F.col("__all")[text], F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length(body).cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda s: s["end"]))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substr(body, (a + 1).cast("int"), (b - a).cast("int"))), "")
-    return out.withColumn(text, F.when(F.col("removed").isNull(), body).otherwise(kept)).withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))).drop("__row")
+    text_now = F.when(F.size(cuts) == 0, body).otherwise(kept)
+    return out.select(*[(text_now if c == text else F.col("__all")[c]).alias(c) for c in df.columns], cuts.alias("removed"))
 
 
 def repeat_report(df: DataFrame) -> DataFrame:
