@@ -152,7 +152,10 @@ def repeats(df: DataFrame, text: str = "text", unit: str = "sentence", min_words
 
     units = cut_table(named.mapInArrow(run, "doc_id bigint, __row bigint, place bigint, start int, end int, n int, hi bigint, lo bigint"))
     # a sketch names the candidates for frequent digests, at most `hot`; which ones it names changes no result
-    top = units.agg(F.expr(f"approx_top_k(lo, {hot}, {max(1 << 15, hot)})").alias("top")).first().top or []
+    # (merged in two steps, so that no task meets the sketches of all others)
+    partial = units.groupBy((F.spark_partition_id() % 64).alias("p")).agg(F.expr(f"approx_top_k_accumulate(lo, {max(8 * 1024, hot)})").alias("s"))
+    whole = partial.groupBy(F.lit(1)).agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {hot})").alias("top")).first()
+    top = whole.top if whole else []  # no row if there are no units
     frequent = F.broadcast(units.sparkSession.createDataFrame([(t[0],) for t in top], "lo bigint").distinct())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "place")
     common = F.broadcast(units.join(frequent, "lo").groupBy("hi", "lo").agg(F.min(rank).alias("first")))
