@@ -61,41 +61,47 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), am
     return t.withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("weight"))).select("source", "source_size", "cls", "weight", "target")
 
 
-def plan_mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: str = "mix", cells: int = 1024, text: str = "text") -> DataFrame:
-    """df with size, source_size, target, copies, taken and the training positions of its first and last copy.
-
-    A source's documents stand in the order of md5(seed, doc_id, text); each pass takes those whose middle word
-    is below the target. Cumulative sizes come in two steps, over at most `cells` cells of a source and then
-    within a cell, so no source meets in one task. Null texts and sources are allowed: a null source is a source
-    of its own, last; a null text has size 0. Empty tables give empty results; equal rows may differ in copies.
-    Columns with the added names are replaced. Documents that are not taken get position 1 or more.
-    """
-    df = without(df, ADDED)
+def _planned(df: DataFrame, keep: list[str], weights, amount: float, most: float, seed: str, digits: int | None, text: str) -> DataFrame:
+    """The kept columns of each row of df in the struct __all, with size, source_size, target, cls, copies, and __mid, the words of its source
+    up to its own middle. Helpers stand outside the struct, so that no name of df's can clash with theirs."""
+    if digits is None:  # of the key, in a cell: about 10,000 rows or fewer of a source, at most 2**24 cells
+        digits = min(6, max(3, -(-(df.count() // 10_000).bit_length() // 4)))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    named = df.withColumns(
-        {
-            "size": n_words(F.col(f"`{text}`")),
-            "__key": F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), body)),
-            "__none": F.col("source").isNull(),
-            "__src": F.coalesce("source", F.lit("")),
-        }
-    ).withColumn("__cell", F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") % cells)
+    named = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__all"),
+        n_words(F.col(f"`{text}`")).alias("size"),
+        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), body)).alias("__key"),
+        F.col("source").isNull().alias("__none"),
+        F.coalesce("source", F.lit("")).alias("__src"),
+    ).withColumn("__cell", F.substring("__key", 1, digits))
     slim = cut(named.groupBy("__none", "__src", "__cell").agg(F.sum("size").alias("__in")))
     totals = slim.groupBy("__none", "__src").agg(F.sum("__in").alias("source_size")).select(F.when(~F.col("__none"), F.col("__src")).alias("source"), "source_size")
     targets = source_targets(totals, weights, amount, most).withColumns({"__none": F.col("source").isNull(), "__src": F.coalesce("source", F.lit(""))}).drop("source")
     by_cell = Window.partitionBy("__none", "__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slim.withColumn("__before", F.coalesce(F.sum("__in").over(by_cell), F.lit(0))).drop("__in").join(targets, ["__none", "__src"])
     within = Window.partitionBy("__none", "__src", "__cell").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    keep = ["__none", "__src", "__cell"]
-    out = named.withColumn("__run", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, keep)
+    out = named.withColumn("__run", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["__none", "__src", "__cell"])
     middle = 2 * (F.col("__before") + F.col("__run")) + F.col("size")  # twice the middle, to stay in integers
     passes = range(int(-(-most // 1)))
     copies = sum((F.when(middle + 2 * p * F.col("source_size") < 2 * F.col("target"), 1).otherwise(0) for p in passes), F.lit(0))
-    out = out.withColumns({"copies": copies.cast("int"), "__mid": middle / 2})
-    out = out.withColumn("taken", F.col("size") * F.col("copies"))
-    place = lambda at: _position(at, schedules)
-    out = out.withColumns({"position": place(F.col("__mid")), "last_position": place(F.col("__mid") + F.col("source_size") * (F.greatest("copies", F.lit(1)) - 1))})
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *ADDED)
+    return out.withColumns({"copies": copies.cast("int"), "__mid": middle / 2})
+
+
+def plan_mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: str = "mix", digits: int | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`, so that texts need not move) with size, source_size, target, copies, taken and the training positions of its first and last copy.
+
+    A source's documents stand in the order of md5(seed, doc_id, text); each pass takes those whose middle word
+    is below the target. Cumulative sizes come in two steps, over the cells of a source and then within a cell, so no
+    source meets in one task. Cells are the first `digits` of the hash, more for more rows; results are the same for any
+    number. Null texts and sources are allowed: a null source is a source of its own, last; a null text has size 0. Empty
+    tables give empty results; equal rows may differ in copies. Columns with the added names are replaced. Documents that
+    are not taken get position 1 or more.
+    """
+    names = [c for c in without(df, ADDED).columns if keep is None or c in keep]
+    out = _planned(df, names or [text], weights, amount, most, seed, digits, text)
+    last = F.col("__mid") + F.col("source_size") * (F.greatest("copies", F.lit(1)) - 1)
+    added = {"taken": F.col("size") * F.col("copies"), "position": _position(F.col("__mid"), schedules), "last_position": _position(last, schedules)}
+    return out.withColumns(added).select(*[F.col("__all")[c].alias(c) for c in names], *ADDED)
 
 
 def _position(offset: Column, schedules) -> Column:
@@ -107,26 +113,30 @@ def _position(offset: Column, schedules) -> Column:
     return F.when(share >= 1, share).otherwise(F.coalesce(cases, F.lit(2.0)))
 
 
-def mix(df: DataFrame, sort: bool = True, **options) -> DataFrame:
-    """One row for each copy that training reads, with its position, range-sorted by position."""
-    names = without(df, ADDED).columns
-    plan = plan_mix(df, **options).where("copies > 0")
-    step = F.when(F.col("copies") > 1, (F.col("last_position") - F.col("position")) / (F.col("copies") - 1)).otherwise(F.lit(0.0))
-    rows = plan.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("position", F.col("position") + F.col("__copy") * step)
-    rows = rows.select(*[F.col(f"`{c}`") for c in names], "position")
-    return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position") if sort else rows
+def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, schedules=SCHEDULES, seed: str = "mix", digits: int | None = None, text: str = "text", position: str | None = "position") -> DataFrame:
+    """df's columns, one row for each copy that training reads, range-sorted by its position in training.
+
+    Each copy has the position at which demand reaches its own middle. position: the name of the column that holds it (one
+    of df's with this name is replaced); None returns df's columns alone. Nulls, repeated rows and empty tables are as in
+    plan_mix.
+    """
+    plan = _planned(df, df.columns, weights, amount, most, seed, digits, text).where("copies > 0")
+    rows = plan.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = rows.select("__all", _position(F.col("__mid") + F.col("source_size") * F.col("__copy"), schedules).alias("__at"))
+    rows = rows.repartitionByRange(F.col("__at")).sortWithinPartitions("__at")
+    names = [c for c in df.columns if position is None or c.lower() != position.lower()]
+    return rows.select(*[F.col("__all")[c].alias(c) for c in names], *([F.col("__at").alias(position)] if position else []))
 
 
 def mix_report(df: DataFrame) -> DataFrame:
     """The contract of op1: one row for each document, range-sorted by its first training position."""
-    plan = plan_mix(df.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    plan = plan_mix(df.select("doc_id", "text", "source"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
     return plan.repartitionByRange(F.col("position")).sortWithinPartitions("position").drop("position")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS k FROM documents),
-e AS (SELECT *, ('0x' || substr(k, 1, 6))::BIGINT % 1024 AS cell FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
   [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
@@ -134,8 +144,8 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - sum(cap) OVER (ORDER B
   / (sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST) + weight) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
 r AS (SELECT doc_id, size, source_size, target,
-  2 * coalesce(sum(size) OVER (PARTITION BY e.source ORDER BY cell, k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS middle
-  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source)
+  2 * coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * ((middle < 2 * target)::INT + (middle + 2 * source_size < 2 * target)::INT))::BIGINT AS taken,
   (middle < 2 * target)::INT + (middle + 2 * source_size < 2 * target)::INT AS copies FROM r
