@@ -45,6 +45,31 @@ def plain_groups(fps):
     return {i: find(i) for i in fps}
 
 
+def shingles(text):
+    w = SPACED.findall((text or "").translate(AZ))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(texts):
+    """texts by doc_id to the smallest doc_id reachable by links of five-word similarity 0.8 or more; empty texts are a group."""
+    sets, root, holders = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(texts):
+        seen = Counter(j for x in sets[i] or {None} for j in holders.get(x, ()))
+        for j, n in seen.items():
+            if not sets[i] or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in sets[i] or {None}:
+            holders.setdefault(x, []).append(i)
+    return {i: find(i) for i in texts}
+
+
 def folded_words(text):
     return ALNUM.findall(re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or ""))
 
@@ -171,8 +196,7 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     text = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in quality.quality_report(docs, labels).where("score >= 0.7").collect()}
-    groups = plain_groups({i: plain_fingerprint(text[i]) for i in kept})
-    kept = set(groups.values())
+    kept = set(similar({i: text[i] for i in kept}).values())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept -= {d for d, _ in plain_leaks([(i, text[i]) for i in kept], items)}
     con = duckdb.connect()

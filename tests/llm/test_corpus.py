@@ -263,5 +263,5 @@ def test_pipeline_runs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     leaks = {r.doc_id for r in decontamination.leak_report(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids and not ids & leaks
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_report(docs).collect()}
+    groups = {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}
     assert len({groups[i] for i in ids}) == len(ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of checkpoints: the cluster's, or one of our own where none is set (tests)."""
+    """The shared folder of checkpoints: the cluster's, or one of our own if Spark runs in this process alone (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="titrelake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="titrelake-"))
     return sc.getCheckpointDir()
 
 
@@ -30,6 +34,11 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A materialised df with narrow rows, marked for broadcast if it has at most `most` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to add (case-insensitive, as Spark resolves)."""
     taken = {n.lower() for n in names}
