@@ -1,4 +1,9 @@
-"""From raw documents to sharded training data: each stage is one operator, written out before the next begins."""
+"""From raw documents to sharded training data: each stage is one operator, written out before the next begins.
+
+Null texts count as empty, null sources are a source of their own, rows that are equal in all columns are near copies of
+each other; an empty table gives an empty result. Any further columns pass through unchanged, whatever they are called,
+but for shard and slot, which the last stage sets.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return simhash.drop_near_copies(docs)
 
 
@@ -27,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix reads a document, in training order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, position=None)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
