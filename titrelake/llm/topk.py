@@ -4,13 +4,15 @@ Vectors get one more component, sqrt(M - |v|^2) with M the largest squared norm,
 and the largest inner product is the least distance to the query (whose extra component is 0). Each vector is
 keyed by its nearest pivot and its distance to it; a cell is a ring (annulus) around a pivot, or a part of a ring
 with many rows. For a query q and a ring [lo, hi] around p, the triangle inequality bounds the distance to all of
-the ring by the gap between d(q, p) and [lo, hi]. Rings of the query's own pivot are searched first; the k-th
-distance found then stops the expansion: only rings with a smaller bound are visited, nearest first.
+the ring by the gap between d(q, p) and [lo, hi]; the ring's least and largest distances from some other pivots give
+bounds of the same kind. Rings are visited in the order of their bounds, in rounds; the k-th distance found so far stops
+the expansion.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -51,10 +53,6 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))]
 
 
-def _matrix(cells: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(cells, np.int64).reshape(-1, dim)
-
-
 def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first choice of up to n rows."""
     if not len(sample):
@@ -67,20 +65,26 @@ def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return rows[chosen]
 
 
-def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", pivots: int = 32, sample: int = 2048, cell: int = 2048, block: int = 512) -> DataFrame:
+def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", pivots: int | None = None, sample: int = 2048, cell: int = 1024, block: int = 512, growth: int = 4, scored: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with vec_id divisible by `every` its k best other rows.
 
     Ties go to the smaller vec_id; fewer rows than k give all. Shorter vectors count as padded with zeros. Rows
     that repeat a vec_id are candidates of their own, but never of a query with that id, and a repeated query id is
-    one query (its first vector in order). Pivots come from `sample` rows (by hash of the id), a bounded sample;
-    every row is indexed and every result is exact. Scores are exact within 64-bit integers.
+    one query (its first vector in order). Pivots come from `sample` rows (by hash of the id), a bounded sample, and grow
+    with the rows (a quarter of their root, 32 to 512); every row is indexed and every result is exact. Scores are exact
+    within 64-bit integers. Columns other than vec_id and the vector are not read; an empty table gives an empty result.
+
+    Each query visits the annuli in the order of their bounds, first two, then `growth` times as many as before, as long
+    as a bound is within the distance of its k-th score so far. scored: a list that gets, for each round, the number of
+    (query, row) pairs in the visited annuli.
     """
     spark = df.sparkSession
     rows = cut(quantise(df, vector))
-    most = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))).first()
+    most = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, e: F.greatest(a, F.abs(e)))), F.count(F.lit(1))).first()
     if most[0] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    dim, top = max(1, most[0]), float(most[1] or 0)
+    dim, top, pivots = max(1, most[0]), float(most[1] or 0), pivots or min(512, max(32, isqrt(most[3]) // 4))
+    kind = next(t for t in (np.int16, np.int32, np.int64) if (most[2] or 0) <= np.iinfo(t).max)  # of what moves
     wide = rows.select("vec_id", F.when(F.size("v") < dim, F.concat("v", F.array_repeat(F.lit(0).cast("long"), dim - F.size("v")))).otherwise(F.col("v")).alias("v"))
     seed = np.array([r.v for r in wide.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()], dtype=np.int64).reshape(-1, dim)
 
@@ -92,6 +96,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
         return np.sqrt(np.maximum(0.0, (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T))
 
     around = pick_pivots(lift(seed), pivots)
+    marks = min(16, len(around))  # pivots whose distances bound every annulus, besides its own
     width = max(1e-9, 2 * np.sqrt(top) / 64)  # of a ring; distances are at most twice the norm
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,9 +106,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
                 d = apart(x, around)
                 near = d.argmin(axis=1)
                 far = d[np.arange(len(d)), near]
-                yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "pivot": near, "ring": (far / width).astype(int), "d": far})
+                yield pd.DataFrame({"vec_id": part["vec_id"], "v": part["v"], "pivot": near, "ring": (far / width).astype(int)})
 
-    keyed = cut(wide.mapInPandas(place, "vec_id bigint, v array<bigint>, pivot int, ring int, d double"))
+    keyed = cut(wide.mapInPandas(place, "vec_id bigint, v array<bigint>, pivot int, ring int"))
     # thin rings are few (pivots times 65 or so), so their sizes can be joined by broadcast whatever the input;
     # neighbouring thin rings join into annuli of about `cell` rows
     thin = keyed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"))
@@ -113,27 +118,49 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
-        v = np.array(part["v"].tolist(), dtype=np.int64)
-        return pd.DataFrame([(int(part["pivot"].iloc[0]), int(part["ring"].iloc[0]), int(part["part"].iloc[0]), part["vec_id"].to_numpy(np.int64).tobytes(), v.tobytes(), float(part["d"].min()), float(part["d"].max()))], columns=["pivot", "ring", "part", "ids", "vs", "lo", "hi"])
+        v, own = np.array(part["v"].tolist(), dtype=np.int64), int(part["pivot"].iloc[0])
+        d = apart(lift(v), np.vstack([around[:marks], around[own : own + 1]]))
+        return pd.DataFrame([(own, int(part["ring"].iloc[0]), int(part["part"].iloc[0]), len(v), part["vec_id"].to_numpy(np.int64).tobytes(), v.astype(kind).tobytes(), d.min(axis=0).tolist(), d.max(axis=0).tolist())], columns=["pivot", "ring", "part", "n", "ids", "vs", "lo", "hi"])
+
+    index = cut(parts.groupBy("pivot", "ring", "part").applyInPandas(pack, "pivot int, ring int, part int, n bigint, ids binary, vs binary, lo array<double>, hi array<double>"))
+    ends = [f(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(marks + 1)]
+    shells = index.groupBy("pivot", "ring").agg(F.max("part").alias("last"), F.sum("n").alias("n"), *ends).orderBy("pivot", "ring").collect()  # at most pivots times 66 rows
+    shell = np.array([tuple(r)[:4] for r in shells], dtype=np.int64)
+    low, high = (np.array([tuple(r)[4 + i * (marks + 1) : 4 + (i + 1) * (marks + 1)] for r in shells], dtype=float) for i in (0, 1))
 
-    index = cut(parts.groupBy("pivot", "ring", "part").applyInPandas(pack, "pivot int, ring int, part int, ids binary, vs binary, lo double, hi double"))
-    rings = index.select("pivot", "ring", "part", "lo", "hi").withColumn("cell", F.struct("pivot", "ring", "part"))
     first = keyed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "pivot")).alias("q")).select("vec_id", "q.v", "q.pivot")
     counts = first.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    split = first.join(F.broadcast(counts), "pivot").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)).cast("int"))
+    split = cut(first.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)).cast("int")))
 
     def bundle(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id")
-        return pd.DataFrame([(int(part["pivot"].iloc[0]), int(part["part"].iloc[0]), part["vec_id"].to_numpy(np.int64).tobytes(), np.array(part["v"].tolist(), dtype=np.int64).tobytes())], columns=["pivot", "block", "qids", "qs"])
-
-    blocks = cut(split.groupBy("pivot", "part").applyInPandas(bundle, "pivot int, block int, qids binary, qs binary"))
+        return pd.DataFrame([(int(part["pivot"].iloc[0]), int(part["block"].iloc[0]), part["vec_id"].to_numpy(np.int64).tobytes(), np.array(part["v"].tolist(), dtype=np.int64).astype(kind).tobytes())], columns=["pivot", "block", "qids", "qs"])
+
+    blocks = cut(split.groupBy("pivot", "block").applyInPandas(bundle, "pivot int, block int, qids binary, qs binary"))
+
+    def due(part: pd.DataFrame, start: int, end: int) -> Iterator[tuple[pd.Series, np.ndarray]]:
+        """For each block of queries: which query visits which annulus as one of its start-th to end-th nearest."""
+        for row in part.itertuples():
+            v = np.frombuffer(row.qs, kind).reshape(-1, dim).astype(float)
+            least = {e["query_id"]: e["least"] for e in row.limits} if row.limits is not None else {}
+            s = np.array([least.get(int(q), -np.inf) for q in np.frombuffer(row.qids, np.int64)])
+            reach = np.sqrt(np.maximum(0.0, (v**2).sum(axis=1) + top - 2 * s)) * (1 + 1e-9) + 1e-6  # ties are not cut off
+            on = []
+            for i in range(0, len(v), 64):  # few at a time: rings are up to some ten thousand
+                d = apart(np.column_stack([v[i : i + 64], np.zeros(len(v[i : i + 64]))]), around)
+                bound = np.maximum(0.0, np.maximum(low[:, marks][None] - d[:, shell[:, 0]], d[:, shell[:, 0]] - high[:, marks][None]))
+                for m in range(marks):
+                    np.maximum(bound, np.maximum(low[:, m][None] - d[:, m, None], d[:, m, None] - high[:, m][None]), out=bound)
+                place_of = bound.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+                on.append((place_of >= start) & (place_of < end) & (bound <= reach[i : i + 64, None]))
+            yield row, np.concatenate(on)
 
     def visit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each (block of queries, cell): the k best of the cell for each query."""
         for part in it:
             for qids, qs, ids, vs in zip(part["qids"], part["qs"], part["ids"], part["vs"]):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                scores = _products(_matrix(qs, dim), _matrix(vs, dim))
+                scores = _products(*(np.frombuffer(x, kind).reshape(-1, dim).astype(np.int64) for x in (qs, vs)))
                 out = []
                 for q, s in zip(qids, scores):
                     at = _best(s, ids, k + 1)
@@ -150,40 +177,39 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    own = blocks.join(index, "pivot").select("qids", "qs", "ids", "vs").mapInPandas(visit, FOUND)
-    near = cut(kept(own))
-    kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    bounds = F.collect_list(F.struct("query_id", "least"))
-    limits = split.select(F.col("vec_id").alias("query_id"), "pivot", F.col("part").alias("block")).join(kth.where(F.col("n") >= k), "query_id", "left").groupBy("pivot", "block").agg(bounds.alias("limits"))
-    todo = blocks.join(limits, ["pivot", "block"])
-    meta = rings.groupBy("pivot", "ring", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    shells = meta.groupBy("pivot", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("part").alias("parts")).collect()  # at most pivots times 66 rows
-    shell = np.array([(r.pivot, r.ring, r.lo, r.hi, r.parts) for r in shells], dtype=float).reshape(-1, 5)
-
-    def expand(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each block of queries the rings that may hold a better row for some of them, nearest first."""
-        for part in it:
-            for pivot, qids, qs, lim in zip(part["pivot"], part["qids"], part["qs"], part["limits"]):
-                ids, v = np.frombuffer(qids, np.int64), _matrix(qs, dim)
-                x = np.column_stack([v.astype(float), np.zeros(len(v))])
-                norm = (x**2).sum(axis=1)
-                least = {e["query_id"]: e["least"] for e in lim}
-                s = np.array([-np.inf if least.get(int(q)) is None else least[int(q)] for q in ids])
-                reach = np.sqrt(np.maximum(0.0, norm + top - 2 * s)) * (1 + 1e-9) + 1e-6  # ties are not cut off
-                d = apart(x, around)
-                for p, ring, lo, hi, parts_ in shell[np.argsort(shell[:, 2], kind="stable")]:
-                    if int(p) == pivot:
-                        continue
-                    gap = np.maximum(0.0, np.maximum(lo - d[:, int(p)], d[:, int(p)] - hi))
-                    on = gap <= reach
-                    if on.any():
-                        n = int(parts_) + 1
-                        yield pd.DataFrame({"pivot": [int(p)] * n, "ring": [int(ring)] * n, "part": range(n), "qids": [ids[on].tobytes()] * n, "qs": [v[on].tobytes()] * n})
-
-    visits = todo.select("pivot", "qids", "qs", "limits").mapInPandas(expand, "pivot int, ring int, part int, qids binary, qs binary")
-    more = visits.join(index, ["pivot", "ring", "part"]).select("qids", "qs", "ids", "vs").mapInPandas(visit, FOUND)
-    every_one = kept(near.select("query_id", "vec_id", "score").unionByName(more))
-    return every_one.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best, start, end = None, 0, 2
+    while start < len(shell):
+        if best is None:
+            todo = blocks.withColumn("limits", F.lit(None).cast("array<struct<query_id:bigint,least:bigint>>"))
+        else:
+            full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+            limits = split.select(F.col("vec_id").alias("query_id"), "pivot", "block").join(full, "query_id").groupBy("pivot", "block").agg(F.collect_list(F.struct("query_id", "least")).alias("limits"))
+            todo = blocks.join(limits, ["pivot", "block"], "left")
+
+        def count(it: Iterator[pd.DataFrame], start: int = start, end: int = end) -> Iterator[pd.DataFrame]:
+            for part in it:
+                yield pd.DataFrame({"n": [int((on * shell[:, 3]).sum()) for _, on in due(part, start, end)]}, dtype="int64")
+
+        def expand(it: Iterator[pd.DataFrame], start: int = start, end: int = end) -> Iterator[pd.DataFrame]:
+            for part in it:
+                for row, on in due(part, start, end):
+                    ids, v = np.frombuffer(row.qids, np.int64), np.frombuffer(row.qs, kind).reshape(-1, dim)
+                    for j in np.flatnonzero(on.any(axis=0)).tolist():
+                        n, own = int(shell[j, 2]) + 1, on[:, j]
+                        yield pd.DataFrame({"pivot": [int(shell[j, 0])] * n, "ring": [int(shell[j, 1])] * n, "part": range(n), "qids": [ids[own].tobytes()] * n, "qs": [v[own].tobytes()] * n})
+
+        pairs = todo.mapInPandas(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+        if not pairs:  # the next annuli are beyond every query's reach, so those after them are too
+            break
+        if scored is not None:
+            scored.append(pairs)
+        visits = todo.mapInPandas(expand, "pivot int, ring int, part int, qids binary, qs binary")
+        found = visits.join(index, ["pivot", "ring", "part"]).select("qids", "qs", "ids", "vs").mapInPandas(visit, FOUND)
+        best = cut(kept(found if best is None else found.unionByName(best.select("query_id", "vec_id", "score"))))
+        start, end = end, end + growth * (end - start)
+    if best is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
