@@ -53,7 +53,7 @@ HELD = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role|data-testid|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Words that speak of what surrounds an article, looked for in the first 500 characters of a block.
+#: Words that speak of what surrounds an article, counted in the whole block.
 TELLS = {
     "copyright": ("©", "all rights reserved", "copyright"),
     "cookie": ("cookie", "consent", "privacy"),
@@ -76,7 +76,7 @@ def _place_words(tag: str, attrs: str) -> tuple[str, ...]:
     if attrs and "=" in attrs:
         for m in NAMES.finditer(attrs):
             value = m[1] or m[2] or m[3] or ""
-            for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)[:400].lower()):
+            for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()):
                 if w in FAMILY:
                     out.append("." + FAMILY[w])
         if HIDDEN.search(attrs):
@@ -190,9 +190,12 @@ def place_features(place: frozenset[str]) -> list[str]:
 
 def text_features(b: Block) -> list[str]:
     """Features of a block's text."""
-    start = b.text[:500].lower()
-    f = [f"words{min(6, (b.text.count(' ') + 1).bit_length())}", f"links{int(b.link_share * 3.999)}", "stop" if b.text[-1] in ".!?…\"”" else "no-stop"]
-    f.extend("says-" + k for k, told in TELLS.items() if any(w in start for w in told))
+    low, words = b.text.lower(), b.text.count(" ") + 1
+    f = [f"words{min(6, words.bit_length())}", f"links{int(b.link_share * 3.999)}", "stop" if b.text[-1] in ".!?…\"”" else "no-stop"]
+    for k, told in TELLS.items():  # one such word in a long block tells little
+        n = sum(low.count(w) for w in told if w in low)
+        if n:
+            f.append(f"says-{k}" if 40 * n >= words else f"mentions-{k}")
     return f
 
 
