@@ -49,3 +49,58 @@ def test_runs_equal_brute_force():
         assert got == want
         found += len(want)
     assert found > 300
+
+
+def plain(text, templates, threshold):
+    """(label, containment) of every block: a line and those after it until these have as many words as the template."""
+    lines = [licenses.words_of(x) for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    out = []
+    for label, t in templates:
+        words = licenses.words_of(t)
+        for i in range(len(lines)):
+            block, n = list(lines[i]), 0
+            for later in lines[i + 1 :]:
+                if n >= len(words):
+                    break
+                block += later
+                n += len(later)
+            share = len(set(words) & set(block)) / len(set(words))
+            if share >= threshold - 1e-12:
+                out.append((label, share))
+    return out
+
+
+def test_whole_licenses_equal_plain_containment(spark):
+    """Wrapped, re-flowed, cut and altered licenses between other lines: labels and scores of the whole scan."""
+    rng = random.Random(9)
+    every = licenses.TEMPLATES + licenses.WHOLE_TEXTS
+    rows = [(0, None), (1, ""), (2, "\n\n")]
+    for i in range(3, 120):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(every)[1].split()
+            lose = rng.choice([0, 0.03, 0.08, 0.2])
+            t = [w for w in t if rng.random() >= lose]
+            t = t[: int(len(t) * rng.choice([1, 1, 0.97, 0.6]))]
+            out += textwrap.wrap(" ".join(t), rng.choice([20, 60, 80, 10**6]), break_long_words=False)
+            out += ["other words stand here, and more of them " * rng.randint(0, 3)]
+        rows.append((i, "\n".join(out)))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = 0
+    for i, text in rows:
+        want = plain(text or "", every, 0.9)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == {k for k, _ in want} | base
+        assert got[i].score == pytest.approx(1.0 if base else max((x for _, x in want), default=0.0))
+        found += len({k for k, _ in want} & {"mit", "bsd", "isc", "zlib"})
+    assert found > 40
+
+
+def test_kept_columns_with_added_names(spark):
+    d = spark.createDataFrame([(1, "Released under the MIT License", "x", 3)], "doc_id long, text string, labels string, `a.b` int")
+    r = licenses.scan(d.withColumnRenamed("a.b", "b"), keep=("doc_id", "labels", "b")).first()
+    assert (r.labels, r.b) == ("mit", 3)
+    long = "one two three four five six seven eight nine ten eleven"
+    s = licenses.scan(spark.createDataFrame([(1, "x " + long), (2, long[:-7])], "doc_id long, text string"), phrases={long: "long"}).collect()
+    assert [(r.n_base, r.first_word) for r in sorted(s, key=lambda r: r.doc_id)] == [(1, 1), (0, None)]

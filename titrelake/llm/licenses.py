@@ -40,6 +40,54 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("warranty", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"),
 )
+#: Whole license texts and notices, by label.
+WHOLE_TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
+the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS
+SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS
+IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
+by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""),
+    ("gpl-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -61,7 +109,7 @@ class Vocabulary:
 class Page:
     """The words of some texts: which row, place in the row, line, and vocabulary id (-1: none)."""
 
-    def __init__(self, vocabulary: Vocabulary, raw: np.ndarray, offs: np.ndarray) -> None:
+    def __init__(self, vocabulary: Vocabulary, raw: np.ndarray, offs: np.ndarray, beyond: int = 8) -> None:
         lowered = LOWER[raw]
         self.starts, self.ends, self.rows = word_bounds(lowered, offs, ALNUM)
         self.n = np.bincount(self.rows, minlength=len(offs) - 1)
@@ -71,7 +119,7 @@ class Page:
         data = lowered.tobytes()
         right = [data[a:b].decode() == vocabulary.words[i] for a, b, i in zip(self.starts[self.hits].tolist(), self.ends[self.hits].tolist(), ids[self.hits].tolist())]
         self.hits = self.hits[np.array(right, dtype=bool)]
-        self.ids = np.full(len(ids) + 8, -1, np.int32)
+        self.ids = np.full(len(ids) + beyond, -1, np.int32)
         self.ids[self.hits] = ids[self.hits]
         breaks = np.flatnonzero(raw == 10)
         self.line = np.searchsorted(breaks, self.starts) + self.rows  # rows part lines too
@@ -163,22 +211,26 @@ class Join:
             yield from ((k, start, best) for start, _, best in got)
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES + WHOLE_TEXTS, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
     """The kept columns with n_words, n_base, first_word, last_word, base_labels, labels, score and matches.
 
     matches lists the blocks (their first line, label, containment) that contain a template to the threshold; score is the
-    largest containment, 1 where a phrase stands, else 0. Null and empty texts give zero counts and empty labels.
+    largest containment, 1 where a phrase stands, else 0. Null and empty texts give zero counts and empty labels. Each row
+    is judged by itself, so repeated rows are reported once each; of blocks that overlap with equal containment the later
+    start counts. Kept columns with one of the added names are left out. An empty table gives an empty result.
     """
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
+    keep = tuple(c for c in keep if c.lower() not in added)
+    longest = max((len(p.split()) for p in phrases), default=1)
     vocabulary = Vocabulary(templates, phrases)
     join = Join(vocabulary, corpus_counts(df, text, vocabulary), templates, threshold)
     cols = df.select(*keep, F.col(f"`{text}`").alias("__text"))
     spec = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
     match = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
-    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offs in slices(batches, "__text"):
-            page = Page(vocabulary, raw, offs)
+            page = Page(vocabulary, raw, offs, longest)
             n = len(offs) - 1
             base, first, last = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
             labels, base_labels, score, found = defaultdict(set), defaultdict(set), np.zeros(n), defaultdict(list)
