@@ -95,7 +95,8 @@ class Index:
             firsts = [np.isin(np.arange(len(self.keys) + 1), x) for x in seen]
             keys, inverse = np.unique(self.key(seen), return_inverse=True)
             order = np.argsort(inverse, kind="stable")
-            self.reps.append((moves, at, firsts, keys, np.split(entries[order], np.searchsorted(inverse[order], np.arange(1, len(keys))))))
+            edges = np.searchsorted(inverse[order], np.arange(len(keys) + 1))
+            self.reps.append((moves, at, firsts, keys, edges, entries[order].astype(np.int32)))
 
     @staticmethod
     def key(seen: list[np.ndarray]) -> np.ndarray:
@@ -120,7 +121,7 @@ class Index:
         A window is dropped as soon as a sampled word is none of those that items have at that sample.
         """
         starts = np.flatnonzero(symbols[: len(symbols) - self.steps])
-        for moves, at, firsts, keys, entries in self.reps:
+        for moves, at, firsts, keys, edges, entries in self.reps:
             origin, cursor, seen, wanted = starts, starts, [], iter(firsts)
             for j in range(int(at[-1]) + 1):
                 s = symbols[cursor]
@@ -131,7 +132,7 @@ class Index:
                 cursor = cursor + moves[j][s]
             found = lookup(keys, np.arange(len(keys)), self.key(seen))
             for i in np.flatnonzero(found >= 0).tolist():
-                for n, o in entries[found[i]].tolist():
+                for n, o in entries[edges[found[i]] : edges[found[i] + 1]].tolist():
                     yield n, int(origin[i]) - o
 
     def hits(self, symbols: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -165,14 +166,19 @@ class Index:
                 yield r, n, best[0], int(best[1] - lo), int(best[2] - lo)
 
 
-def items_of(benchmark: DataFrame, block: int = 5000) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of at most `block` items, so that what is sent to executors is bounded."""
-    held = []
+def items_of(benchmark: DataFrame, words: int = 400_000) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about `words` words at most, so that what is sent to executors is bounded (some 60 MB).
+
+    A usual benchmark is one block, that is one pass over the documents; a larger one takes a pass for each block.
+    """
+    held, size = [], 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        if len(held) == block:
+        n = r.text.count(" ") + 1
+        if held and size + n > words:
             yield held
-            held = []
+            held, size = [], 0
+        held.append((r.item_id, r.text))
+        size += n
     if held:
         yield held
 
@@ -182,11 +188,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     start_word and end_word of the closest place found.
 
     A document holds an item if a passage is within (1 - similarity) of the item's words in edits. Null texts and
-    items without words match nothing; a null or repeated item_id is reported as it is. Case (of A-Z and
-    Latin-1) and punctuation do not count.
+    items without words match nothing; a null or repeated item_id is reported as it is; repeated documents are reported
+    once each; of equally close places the first counts. Case (of A-Z and Latin-1) and punctuation do not count. Kept
+    columns with one of the added names are left out. Empty tables give an empty result.
     """
-    cols = docs.select(*keep, F.col(f"`{text}`").alias("__text"))
-    spec = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    added = ("item_id", "item_words", "distance", "similarity", "start_word", "end_word")
+    keep = tuple(c for c in keep if c.lower() not in added)
+    kept_cols = [F.col(f"`{c}`") for c in keep]
+    cols = docs.select(*kept_cols, F.col(f"`{text}`").alias("__text"))
+    spec = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept_cols).dtypes)
 
     def found_in(items: list[tuple[int, str]]) -> DataFrame:
         index = Index(items, **options)
@@ -217,7 +227,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; columns as they were."""
+    """docs without the documents that hold a benchmark item; columns as they were, whatever they are called.
+
+    Null and empty texts stay; repeated documents go or stay together; an empty table or benchmark changes nothing.
+    """
     names, spec = docs.columns, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def kept(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:

@@ -382,7 +382,8 @@ def main_text(html: str | None, chain: Chain, places: dict | None = None, weight
 def extract(df: DataFrame, html: str = "html", chain: Chain | None = None) -> DataFrame:
     """df without the html column, with text (the main text; empty if none or null) and n_chars, its code points.
 
-    Columns named text or n_chars are replaced. Any other columns are kept.
+    Columns named text or n_chars are replaced. Any other columns are kept. Pages are read whole, however long; repeated
+    rows are extracted once each; an empty table gives an empty result.
     """
     model = chain or train()
 

@@ -224,8 +224,8 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     longest = max((len(p.split()) for p in phrases), default=1)
     vocabulary = Vocabulary(templates, phrases)
     join = Join(vocabulary, corpus_counts(df, text, vocabulary), templates, threshold)
-    cols = df.select(*keep, F.col(f"`{text}`").alias("__text"))
-    spec = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
+    cols = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    spec = ", ".join(f"`{c}` {t}" for c, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes)
     match = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

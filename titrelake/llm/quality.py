@@ -215,7 +215,9 @@ def score_quality(df: DataFrame, gam: Gam, text: str = "text", threshold: float
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract of op6."""
+    """The contract of op6: one row for each row of docs, repeated ones too. Null and empty texts are scored like any other
+    (all features 0), a null doc_id is never held out, extra columns are not read, empty tables give an empty result; without
+    labels all get one score."""
     docs = docs.select("doc_id", "text")
 
     def slim(gam: Gam) -> DataFrame:
@@ -230,7 +232,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(df: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of df that the classifier keeps, columns as they were."""
+    """The rows of df that the classifier keeps, columns as they were, whatever they are called.
+
+    Null and empty texts are judged by their features like any other, equal texts alike; a score of just `threshold` stays.
+    """
     gam, text = train(df, labels), "text"
     names, spec = df.columns, ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 

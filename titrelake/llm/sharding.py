@@ -164,7 +164,10 @@ def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", returns:
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, text: str = "text", **options) -> None:
-    """Write one folder of Parquet files for each shard, rows in slot order within each file."""
+    """Write one folder of Parquet files for each shard, rows in slot order within each file.
+
+    Nulls, repeated rows and clashing names are as in assign_shards; of an empty table no file is written.
+    """
     assign_shards(df, shards, text, **options).repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -48,8 +48,8 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3, seed: int = 42) -> DataFrame:
     """The kept columns and fp, the fingerprint as a signed long. Null texts count as empty (0)."""
-    cols = df.select(*keep, F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", fp bigint"
+    cols = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes) + ", fp bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, offs in slices(batches, "__text"):
@@ -226,8 +226,8 @@ def bit_counts(rows: np.ndarray, hashes: np.ndarray, n: int, words: int) -> np.n
 
 def wide_fingerprints(df: DataFrame, balls: Balls, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 5) -> DataFrame:
     """The kept columns with fp (segments * bits bits) and weak, the places of each segment's least certain bits."""
-    cols = df.select(*keep, F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", fp binary, weak binary"
+    cols = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes) + ", fp binary, weak binary"
     total = balls.bits * balls.segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
