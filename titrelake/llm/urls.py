@@ -46,8 +46,9 @@ def build(rules=RULES) -> dict:
         node = node.setdefault("path", {})
         for s in segments:
             node = node.setdefault("next", {}).setdefault(s, {})
-        tails = node.setdefault("tails", {})
-        tails[tail] = max(tails.get(tail, entry), entry)
+        tails = node.setdefault("tails", {})  # by length, so that a look-up costs one step a length, not one a rule
+        same = tails.setdefault(len(tail), {})
+        same[tail] = max(same.get(tail, entry), entry)
     return root
 
 
@@ -62,7 +63,7 @@ def find(root: dict, host: str, path: str) -> tuple[str, bool] | None:
         if path.startswith("/") and "path" in node:
             at, segments = node["path"], path[1:].split("/")
             for i, s in enumerate(segments):
-                found += [e for t, e in at.get("tails", {}).items() if s.startswith(t)]
+                found += [same[s[:n]] for n, same in at.get("tails", {}).items() if s[:n] in same]
                 at = at.get("next", {}).get(s) if i + 1 < len(segments) else None
                 if at is None:
                     break
