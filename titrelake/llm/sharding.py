@@ -159,7 +159,8 @@ def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", returns:
         keyed = keyed.select(*[c.alias(n) for n, c in returns.items()], "__k0", "__k1", "__bytes")
     routed = _routed(keyed, plan.rounds)
     at = F.col("__cell").cast("int")
-    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__k0", "__k1")) - 1
+    as_unsigned = [F.col(k).bitwiseXOR(F.lit(-(2**63)).cast("long")) for k in ("__k0", "__k1")]
+    place = F.row_number().over(Window.partitionBy("__cell").orderBy(*as_unsigned)) - 1
     return routed.withColumn("slot", (F.get(number_array(plan.slot_of), at) + place).cast("long")).select(*[F.col(f"`{c}`") for c in names], F.get(number_array(plan.shard_of, "int"), at).alias("shard"), "slot")
 
 
