@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_rows
 from .textarrays import ALNUM, folded, lookup, mixed, slices, word_bounds, word_hashes
 
 
@@ -194,9 +195,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     """
     added = ("item_id", "item_words", "distance", "similarity", "start_word", "end_word")
     keep = tuple(c for c in keep if c.lower() not in added)
-    kept_cols = [F.col(f"`{c}`") for c in keep]
-    cols = docs.select(*kept_cols, F.col(f"`{text}`").alias("__text"))
-    spec = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept_cols).dtypes)
+    slots = [f"k{i}" for i in range(len(keep))]
+    cols = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, slots)], F.col(f"`{text}`").alias("__text"))
+    spec = "".join(f"{c} {t}, " for c, t in cols.dtypes[:-1])
 
     def found_in(items: list[tuple[int, str]]) -> DataFrame:
         index = Index(items, **options)
@@ -213,11 +214,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
                     r, n, d, s, e = (np.array(x) for x in zip(*got))
                     length = np.array([len(index.words[k]) for k in n])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(c).take(pa.array(r)) for c in keep] + [pa.array([index.ids[k] for k in n], pa.int64()), pa.array(length), pa.array(d), pa.array(1 - d / length), pa.array(s), pa.array(e)],
-                        names=[*keep, "item_id", "item_words", "distance", "similarity", "start_word", "end_word"],
+                        [part.column(c).take(pa.array(r)) for c in slots] + [pa.array([index.ids[k] for k in n], pa.int64()), pa.array(length), pa.array(d), pa.array(1 - d / length), pa.array(s), pa.array(e)],
+                        names=[*slots, *added],
                     )
 
-        return cols.mapInArrow(run, f"{spec}, item_id bigint, item_words bigint, distance bigint, similarity double, start_word bigint, end_word bigint")
+        return cols.mapInArrow(run, f"{spec}item_id bigint, item_words bigint, distance bigint, similarity double, start_word bigint, end_word bigint").toDF(*keep, *added)
 
     out = None
     for items in items_of(benchmark):
@@ -231,23 +232,19 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **opti
 
     Null and empty texts stay; repeated documents go or stay together; an empty table or benchmark changes nothing.
     """
-    names, spec = docs.columns, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
     def kept(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         index = Index(items, **options)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, raw, offs in slices(batches, text):
-                lowered = folded(raw)
-                starts, ends, rows = word_bounds(lowered, offs, ALNUM)
-                ok = np.ones(len(offs) - 1, bool)
-                if len(starts):
-                    symbols = lookup(index.keys, index.symbols, word_hashes(lowered, starts, ends), 0)
-                    for r, *_ in index.hits(symbols, rows):
-                        ok[r] = False
-                yield pa.RecordBatch.from_arrays(part.columns, names=names).filter(pa.array(ok))
-
-        return df.mapInArrow(run, spec)
+        def run(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list]:
+            starts, ends, rows = word_bounds(lowered := folded(raw), offs, ALNUM)
+            ok = np.ones(len(offs) - 1, bool)
+            if len(starts):
+                symbols = lookup(index.keys, index.symbols, word_hashes(lowered, starts, ends), 0)
+                ok[[r for r, *_ in index.hits(symbols, rows)]] = False
+            return ok, []
+
+        return map_rows(df, text, {}, run)
 
     for items in items_of(benchmark):
         docs = kept(docs, items)

@@ -224,8 +224,9 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     longest = max((len(p.split()) for p in phrases), default=1)
     vocabulary = Vocabulary(templates, phrases)
     join = Join(vocabulary, corpus_counts(df, text, vocabulary), templates, threshold)
-    cols = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    spec = ", ".join(f"`{c}` {t}" for c, t in df.select(*[F.col(f"`{c}`") for c in keep]).dtypes)
+    slots = [f"k{i}" for i in range(len(keep))]
+    cols = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, slots)], F.col(f"`{text}`").alias("__text"))
+    spec = "".join(f"{c} {t}, " for c, t in cols.dtypes[:-1])
     match = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +261,13 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             empty = pa.scalar(None, pa.int64())
             text_of = lambda sets: pa.array([",".join(sorted(sets)) for sets in sets])
             yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in keep]
+                [part.column(c) for c in slots]
                 + [pa.array(page.n.astype(np.int64)), pa.array(base), pa.compute.if_else(none, empty, pa.array(first)), pa.compute.if_else(none, empty, pa.array(last))]
                 + [text_of([base_labels[r] for r in range(n)]), text_of([base_labels[r] | labels[r] for r in range(n)]), pa.array(score), pa.array([found[r] for r in range(n)], match)],
-                names=[*keep, *added],
+                names=[*slots, *added],
             )
 
-    return cols.mapInArrow(run, f"{spec}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<line: bigint, label: string, containment: double>>")
+    return cols.mapInArrow(run, f"{spec}n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<line: bigint, label: string, containment: double>>").toDF(*keep, *added)
 
 
 def license_report(df: DataFrame) -> DataFrame:

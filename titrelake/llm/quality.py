@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .shared import map_rows, without
 from .textarrays import LOWER, SPACED, mixed, slices, word_bounds, word_hashes
 
 FEATURES = (
@@ -204,14 +204,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = 20
 def score_quality(df: DataFrame, gam: Gam, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """df with score and predicted. Null and empty texts are scored like any other; same-named columns go."""
     df = without(df, ["score", "predicted"])
-    names, spec = df.columns, ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offs in slices(batches, text):
-            s = gam.score(features(raw, offs))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+    def run(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list]:
+        s = gam.score(features(raw, offs))
+        return np.ones(len(s), bool), [s, (s >= threshold).astype(np.int32)]
 
-    return df.mapInArrow(run, f"{spec}, score double, predicted int")
+    return map_rows(df, text, {"score": "double", "predicted": "int"}, run)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,11 +234,5 @@ def drop_rejected(df: DataFrame, labels: DataFrame, threshold: float = 0.7) -> D
 
     Null and empty texts are judged by their features like any other, equal texts alike; a score of just `threshold` stays.
     """
-    gam, text = train(df, labels), "text"
-    names, spec = df.columns, ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offs in slices(batches, text):
-            yield pa.RecordBatch.from_arrays(part.columns, names=names).filter(pa.array(gam.score(features(raw, offs)) >= threshold))
-
-    return df.mapInArrow(run, spec)
+    gam = train(df, labels)
+    return map_rows(df, "text", {}, lambda raw, offs: (gam.score(features(raw, offs)) >= threshold, []))

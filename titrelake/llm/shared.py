@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textarrays import slices
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of checkpoints: the cluster's, or one of our own if Spark runs in this process alone (tests)."""
@@ -45,6 +50,23 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def map_rows(df: DataFrame, text: str, added: dict[str, str], run: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list]]) -> DataFrame:
+    """Rows of df that run(bytes, offsets of the texts) keeps, a mask, with the added columns (name to type) whose values it
+    gives. Columns travel under numbers, so that any names will do."""
+    names, at = df.columns, df.columns.index(text)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    more = [f"n{i}" for i in range(len(added))]
+    out = [*plain.columns, *more]
+    spec = ", ".join([f"{c} {t}" for c, t in plain.dtypes] + [f"{c} {t}" for c, t in zip(more, added.values())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offs in slices(batches, f"c{at}"):
+            ok, values = run(raw, offs)
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, values)], names=out).filter(pa.array(ok))
+
+    return plain.mapInArrow(each, spec).toDF(*names, *added)
+
+
 def row_hash(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
     """64-bit hash of a row's columns; maps are hashed as JSON because Spark does not hash maps."""
     cols = [F.to_json(f"`{c}`") if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes if c not in skip]
