@@ -64,7 +64,7 @@ def extract(docs: DataFrame, max_findings: int = 6) -> DataFrame:
 def quote_rates(quotes: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:
     """One row: share of quotes accepted (1 if there are none), and of their corruptions rejected."""
     true = quotes.select(quote_check(F.col(quote), F.col(source))["ok"].alias("ok")).agg(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(1.0)).alias("accepted"), F.count(F.lit(1)).alias("n_quotes"))
-    fake = quotes.select(F.col(source).alias("s"), F.col(quote).alias("q"), F.explode(tx.mutations(F.col(quote))).alias("fake")).where("fake <> q")
+    fake = quotes.select(F.col(source).alias("s"), F.col(quote).alias("q"), F.explode(tx.mutations(F.col(quote))).alias("fake")).where("trim(fake) <> trim(q)")
     caught = fake.select(quote_check(F.col("fake"), F.col("s"))["ok"].alias("ok")).agg(F.coalesce(F.avg((~F.col("ok")).cast("double")), F.lit(1.0)).alias("fakes_rejected"), F.count(F.lit(1)).alias("n_fakes"))
     return true.crossJoin(caught)
 

@@ -9,13 +9,18 @@ from ..schema import DEFAULTS, FOLD_KEY, METHOD_COMPARTMENT, REQUIRED, UNIT_FACT
 
 
 def with_contract(df: DataFrame) -> DataFrame:
-    """Fail if a required column is missing; add optional ones with their defaults; NaN becomes null."""
+    """Fail if a required column is missing; add optional ones with their defaults; NaN becomes null.
+
+    row_ord, the input order, is added where it is missing: rows of one file in its order, files one after the other.
+    """
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     for c, v in {**DEFAULTS, "arm_id": "A", "below_lloq": False}.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(v))
+    if "row_ord" not in df.columns:
+        df = df.withColumn("row_ord", F.monotonically_increasing_id())
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c, t in df.dtypes if t == "double"})
 
 

@@ -85,8 +85,16 @@ def raw_documents(records: DataFrame, full_texts: DataFrame) -> DataFrame:
     return d.withColumn("full_text", F.concat_ws("\n\n", "abstract", F.array_join(F.transform("sections", lambda s: s["text"]), "\n\n")))
 
 
+OUTCOMES = "array<struct<measure: string, timeFrame: string>>"
+PROTOCOL = f"identificationModule struct<nctId: string, briefTitle: string>, outcomesModule struct<primaryOutcomes: {OUTCOMES}, secondaryOutcomes: {OUTCOMES}>"
+
+
 def registry(trials: DataFrame) -> DataFrame:
-    """One row for each outcome of registry records with a protocolSection, and all days that a trial names."""
+    """One row for each outcome of registry records with a protocolSection, and all days that a trial names.
+
+    Whatever a file's records leave out (no trial with secondary outcomes, say) is read as null.
+    """
+    trials = trials.select(F.from_json(F.to_json("protocolSection"), PROTOCOL).alias("protocolSection"))
     p = "protocolSection."
     outcome = lambda kind: trials.select(F.col(p + "identificationModule.nctId").alias("nct"), F.col(p + "identificationModule.briefTitle").alias("title"), F.inline(p + f"outcomesModule.{kind}Outcomes")).select("nct", "title", F.lit(kind).alias("kind"), "measure", "timeFrame")
     out = outcome("primary").unionByName(outcome("secondary")).withColumn("days", timeframe_days(F.col("timeFrame")))

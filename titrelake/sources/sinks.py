@@ -11,9 +11,9 @@ from ..schema import MODELS
 
 
 def to_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Nested columns are written as JSON. single is for small results only."""
+    """Nested columns are written as JSON, quotes doubled (RFC 4180). single is for small results only."""
     flat = df.select(*[F.to_json(f"`{c}`").alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
-    (flat.coalesce(1) if single else flat).write.csv(path, header=True)
+    (flat.coalesce(1) if single else flat).write.csv(path, header=True, escape='"')
 
 
 def to_json(df: DataFrame, path: str, single: bool = False) -> None:
