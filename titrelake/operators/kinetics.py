@@ -20,68 +20,82 @@ from ..functions.math import bateman, curve_summary
 # Bounds of log baseline, log amount, log extra rise rate and log decline rate, and their start.
 LOW = np.array([-30.0, -30.0, np.log(1e-3), np.log(1e-4)])
 HIGH = np.array([30.0, 30.0, np.log(5.0), np.log(1.0)])
-START = (np.log(0.15), np.log(0.03))
+STARTS = np.log([(0.15, 0.03), (0.05, 0.01), (0.6, 0.08)])
 LN10 = float(np.log(10))
 
 
-def model(theta: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the curve at t, and its Jacobian in the four log parameters."""
-    b, a, kx, ke = np.exp(theta)
-    ka = kx + ke
-    up, down = np.exp(-ka * t), np.exp(-ke * t)
+def models(theta: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of many curves (rows of four log parameters) at their own days (rows of t), and the Jacobians."""
+    b, a, kx, ke = (x[:, None] for x in np.exp(theta).T)
+    up, down = np.exp(-(kx + ke) * t), np.exp(-ke * t)
     f = np.maximum(b + a * (down - up), 1e-300)
-    jac = np.column_stack([np.full_like(t, b), a * (down - up), a * t * up * kx, a * ke * t * (up - down)])
-    return np.log10(f), jac / (f * LN10)[:, None]
-
-
-def fit(days: np.ndarray, counts: np.ndarray, means: np.ndarray, steps: int = 200) -> np.ndarray | None:
-    """Levenberg-Marquardt with projection on the bounds, from three starts; None if nothing finite comes out."""
-    y, w = np.maximum(means, -9.0), np.sqrt(counts)
-    early = days <= 1
-    low = max(10 ** (np.average(y[early], weights=counts[early]) if early.any() else y.min()), 1e-6)
-    lift = max(10 ** y.max() - low, low * 0.5)
-    best, best_cost = None, np.inf
-    for rise, fall in (START, (np.log(0.05), np.log(0.01)), (np.log(0.6), np.log(0.08))):
-        x = np.clip(np.array([np.log(low), np.log(lift * 1.5), rise, fall]), LOW, HIGH)
-        f, jac = model(x, days)
-        r, damp = (y - f) * w, 1e-2
-        cost = float(r @ r)
-        for _ in range(steps):
-            j = jac * w[:, None]
-            g, h = j.T @ r, j.T @ j
-            try:
-                step = np.linalg.solve(h + damp * (np.diag(np.diag(h)) + 1e-9 * np.eye(4)), g)
-            except np.linalg.LinAlgError:
-                break
-            new = np.clip(x + step, LOW, HIGH)
-            f2, jac2 = model(new, days)
-            r2 = (y - f2) * w
-            cost2 = float(r2 @ r2)
-            if np.isfinite(cost2) and cost2 < cost:
-                done = cost - cost2 < 1e-10 * (cost + 1e-12)
-                x, r, jac, cost, damp = new, r2, jac2, cost2, max(damp / 5, 1e-12)
-                if done:
-                    break
-            else:
-                damp *= 4
-                if damp > 1e10:
-                    break
-        if np.isfinite(cost) and cost < best_cost:
-            best, best_cost = x, cost
-    return best
+    jac = np.stack([b * np.ones_like(t), a * (down - up), a * t * up * kx, a * ke * t * (up - down)], axis=2)
+    return np.log10(f), jac / (f * LN10)[:, :, None]
+
+
+def model(theta: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one curve."""
+    f, jac = models(theta[None], t[None])
+    return f[0], jac[0]
+
+
+def fit_many(t: np.ndarray, n: np.ndarray, means: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Levenberg-Marquardt with projection on the bounds, from three starts, for all rows at once; nan where nothing finite
+    comes out. Rows are lists of days with counts and mean logs; a count of 0 fills up a short row."""
+    rows, on = len(t), n > 0
+    y, w = np.where(on, np.maximum(means, -9.0), 0.0), np.sqrt(n)
+    early = n * (t <= 1)
+    least = np.where(on, y, np.inf).min(axis=1)
+    low = np.maximum(10 ** np.where(early.any(axis=1), (early * y).sum(axis=1) / np.maximum(early.sum(axis=1), 1e-300), least), 1e-6)
+    lift = np.maximum(10 ** np.where(on, y, -np.inf).max(axis=1) - low, low * 0.5)
+    x = np.concatenate([np.column_stack([np.log(low), np.log(lift * 1.5), np.full(rows, rise), np.full(rows, fall)]) for rise, fall in STARTS]).clip(LOW, HIGH)
+    t, y, w = (np.tile(z, (len(STARTS), 1)) for z in (t, y, w))
+    f, jac = models(x, t)
+    r, damp = (y - f) * w, np.full(len(x), 1e-2)
+    cost = (r**2).sum(axis=1)
+    going = np.flatnonzero(np.isfinite(cost))
+    for _ in range(steps):
+        if not len(going):
+            break
+        j = jac[going] * w[going][:, :, None]
+        h, g = np.einsum("ndi,ndj->nij", j, j), np.einsum("ndi,nd->ni", j, r[going])
+        bent = h + damp[going][:, None, None] * (h * np.eye(4) + 1e-9 * np.eye(4)) + 1e-14 * np.eye(4)
+        new = (x[going] + np.linalg.solve(bent, g[:, :, None])[:, :, 0]).clip(LOW, HIGH)
+        f2, jac2 = models(new, t[going])
+        r2 = (y[going] - f2) * w[going]
+        cost2 = (r2**2).sum(axis=1)
+        better = np.isfinite(cost2) & (cost2 < cost[going])
+        settled = better & (cost[going] - cost2 < 1e-10 * (cost[going] + 1e-12))
+        at = going[better]
+        x[at], r[at], jac[at], cost[at] = new[better], r2[better], jac2[better], cost2[better]
+        damp[at] = np.maximum(damp[at] / 5, 1e-12)
+        damp[going[~better]] *= 4
+        going = going[~settled & (damp[going] <= 1e10)]
+    cost = np.where(np.isfinite(cost), cost, np.inf).reshape(len(STARTS), rows)
+    best = cost.argmin(axis=0)
+    return np.where(np.isfinite(cost.min(axis=0))[:, None], x.reshape(len(STARTS), rows, 4)[best, np.arange(rows)], np.nan)
+
+
+def fit(days: np.ndarray, counts: np.ndarray, means: np.ndarray) -> np.ndarray | None:
+    """The log parameters of one curve; None if nothing finite comes out."""
+    got = fit_many(days[None].astype(float), counts[None].astype(float), means[None].astype(float))[0]
+    return None if np.isnan(got).any() else got
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("base", "amount", "ka", "ke")]))
 def _fit(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for lists in it:
-        out = []
-        for days in lists:
-            got = None
-            if days is not None and len(days):
-                d, n, m = (np.array([x[k] for x in days], dtype=float) for k in ("day", "n", "m"))
-                got = fit(d, n, m)
-            out.append((None,) * 4 if got is None else (np.exp(got[0]), np.exp(got[1]), np.exp(got[2]) + np.exp(got[3]), np.exp(got[3])))
-        yield pd.DataFrame(out, columns=["base", "amount", "ka", "ke"], dtype=float)
+        out = np.full((len(lists), 4), np.nan)
+        given = [(i, days) for i, days in enumerate(lists) if days is not None and len(days)]
+        for at in range(0, len(given), 2000):
+            some = given[at : at + 2000]
+            t, n, m = np.zeros((3, len(some), max(len(days) for _, days in some)))
+            for k, (_, days) in enumerate(some):
+                t[k, : len(days)], n[k, : len(days)], m[k, : len(days)] = zip(*((x["day"], x["n"], x["m"]) for x in days))
+            b, a, kx, ke = np.exp(fit_many(t, n, m)).T
+            out[[i for i, _ in some]] = np.column_stack([b, a, kx + ke, ke])
+        frame = pd.DataFrame(out, columns=["base", "amount", "ka", "ke"]).astype(object)
+        yield frame.where(frame.notna(), None)
 
 
 def _days(weight: Column) -> list[Column]:
@@ -102,6 +116,19 @@ def poisson_weight(*keys: Column | str) -> Column:
     return out
 
 
+def replicates(df: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
+    """(by, rep, p): the curve of each bootstrap replicate of each series.
+
+    Rows are first reduced to a short list of days for each subject; only these lists meet the replicates' weights.
+    """
+    of_day = df.where("value > 0").groupBy(*by, "subject_id", "day").agg(F.count(F.lit(1)).alias("c"), F.sum(F.log10(F.greatest("value", F.lit(1e-9)))).alias("s"))
+    people = of_day.groupBy(*by, "subject_id").agg(F.collect_list(F.struct("day", "c", "s")).alias("seen"))
+    drawn = people.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_weight(*by, "subject_id", "rep", F.lit(seed))).where("w > 0")
+    daily = drawn.select(*by, "rep", "w", F.inline("seen")).groupBy(*by, "rep", "day").agg(F.sum(F.col("w") * F.col("c")).cast("double").alias("n"), (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    lists = daily.groupBy(*by, "rep").agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"))
+    return lists.where(F.size("days") >= 2).withColumn("p", _fit("days")).where("p.ke IS NOT NULL").select(*by, "rep", "p")
+
+
 def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int = 4, enough: int = 20, seed: int = 0) -> DataFrame:
     """One row for each series: parameters, summary, 95% intervals, counts, identifiable and notes.
 
@@ -114,10 +141,7 @@ def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int =
     lists = daily.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"), F.max_by("day", F.struct("med", (-F.col("day")).alias("d"))).alias("raw_peak_day"), F.max("med").alias("raw_peak"), F.min_by("med", "day").alias("raw_base"))
     ok = lists.join(counts, by)
     point = ok.withColumn("p", _fit(F.when(F.col("n_timepoints") >= min_timepoints, F.col("days"))))
-    reps = d.join(counts.where(F.col("n_timepoints") >= min_timepoints).select(*by), by, "left_semi")
-    reps = reps.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_weight(*by, "subject_id", "rep", F.lit(seed))).where("w > 0")
-    boot = reps.groupBy(*by, "rep", "day").agg(*_days(F.col("w").cast("double"))).groupBy(*by, "rep").agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"))
-    boot = boot.where(F.size("days") >= 2).withColumn("p", _fit("days")).where("p.ke IS NOT NULL")
+    boot = replicates(d.join(counts.where(F.col("n_timepoints") >= min_timepoints).select(*by), by, "left_semi"), by, n_boot, seed)
     s = curve_summary(F.col("p.base"), F.col("p.amount"), F.col("p.ka"), F.col("p.ke"))
     ends = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
     spread = boot.withColumn("s", s).groupBy(*by).agg(F.count(F.lit(1)).alias("n_boot"), *[F.percentile(f"s.{c}", ends).alias(f"q_{c}") for c in ("peak_day", "half_life_days", "peak_value", "fold_rise")])
@@ -141,9 +165,30 @@ def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int =
     )
 
 
-def curve(fitted: DataFrame, by: list[str], points: int = 200) -> DataFrame:
-    """(by, t, y) on a grid of equal steps over max(last day, 30)."""
-    horizon = F.greatest("last_day", F.lit(30.0))
+def _grid(fitted: DataFrame, points: int, horizon: float | None) -> DataFrame:
+    """fitted with t, a grid of equal steps up to the horizon (by default the last day, 30 at least)."""
+    upto = F.greatest("last_day", F.lit(30.0)) if horizon is None else F.lit(float(horizon))
     grid = fitted.where("p.ke IS NOT NULL").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    t = F.col("i") * horizon / (points - 1)
-    return grid.select(*by, t.alias("t"), bateman(t, F.col("p.base"), F.col("p.amount"), F.col("p.ka"), F.col("p.ke")).alias("y"))
+    return grid.withColumn("t", F.col("i") * upto / (points - 1))
+
+
+_Y = lambda: bateman(F.col("t"), F.col("p.base"), F.col("p.amount"), F.col("p.ka"), F.col("p.ke"))
+
+
+def curve(fitted: DataFrame, by: list[str], points: int = 200, horizon: float | None = None) -> DataFrame:
+    """(by, t, y) of the fitted curves on a grid."""
+    return _grid(fitted, points, horizon).select(*by, "t", _Y().alias("y"))
+
+
+def bands(df: DataFrame, fitted: DataFrame, by: list[str], n_boot: int = 200, points: int = 200, horizon: float | None = None, seed: int = 0) -> DataFrame:
+    """(by, t, y, lo, mid, hi): the fitted curves with the 2.5, 50 and 97.5 % points of their replicates at each t."""
+    reps = replicates(df, by, n_boot, seed).join(fitted.where("identifiable").select(*by, "last_day"), by)
+    spread = _grid(reps, points, horizon).groupBy(*by, "i").agg(F.percentile(_Y(), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    at = _grid(fitted, points, horizon).select(*by, "i", "t", _Y().alias("y"))
+    return at.join(spread, [*by, "i"], "left").select(*by, "t", "y", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("lo", "mid", "hi"))])
+
+
+def panels(df: DataFrame, fitted: DataFrame, by: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """What a kinetics figure draws: the rows' points, and the curves with their bands."""
+    points = df.where("value > 0").select(*by, "subject_id", "day", "value")
+    return points, bands(df, fitted, by, **options)
