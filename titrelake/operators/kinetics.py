@@ -123,10 +123,12 @@ def replicates(df: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0) -
     """
     of_day = df.where("value > 0").groupBy(*by, "subject_id", "day").agg(F.count(F.lit(1)).alias("c"), F.sum(F.log10(F.greatest("value", F.lit(1e-9)))).alias("s"))
     people = of_day.groupBy(*by, "subject_id").agg(F.collect_list(F.struct("day", "c", "s")).alias("seen"))
-    drawn = people.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_weight(*by, "subject_id", "rep", F.lit(seed))).where("w > 0")
+    # few and small rows with much work for each: a stated number of partitions keeps them from being put into one task
+    tasks = min(200, df.sparkSession.sparkContext.defaultParallelism)
+    drawn = people.repartition(tasks, *by, "subject_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_weight(*by, "subject_id", "rep", F.lit(seed))).where("w > 0")
     daily = drawn.select(*by, "rep", "w", F.inline("seen")).groupBy(*by, "rep", "day").agg(F.sum(F.col("w") * F.col("c")).cast("double").alias("n"), (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
     lists = daily.groupBy(*by, "rep").agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"))
-    return lists.where(F.size("days") >= 2).withColumn("p", _fit("days")).where("p.ke IS NOT NULL").select(*by, "rep", "p")
+    return lists.where(F.size("days") >= 2).repartition(tasks, *by, "rep").withColumn("p", _fit("days")).where("p.ke IS NOT NULL").select(*by, "rep", "p")
 
 
 def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int = 4, enough: int = 20, seed: int = 0) -> DataFrame:
