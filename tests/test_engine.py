@@ -140,4 +140,4 @@ def test_design_keeps_mandatory_days():
 def test_contract_and_schemas(spark):
     with pytest.raises(ValueError):
         ms.with_contract(spark.createDataFrame([("a",)], "subject_id string"))
-    assert len(schemas()) == 9
+    assert len(schemas()) == 13

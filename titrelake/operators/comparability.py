@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +139,13 @@ def matrix(df: DataFrame) -> DataFrame:
     return both.unionByName(same).groupBy("key_a").pivot("key_b").agg(F.first("verdict"))
 
 
+def level_map(df: DataFrame) -> DataFrame:
+    """(key_a, key_b, level) for every ordered pair of series, 0 on the diagonal: what a heat map shows."""
+    v = verdicts(df).select("key_a", "key_b", "level")
+    both = v.unionByName(v.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "level"))
+    return both.unionByName(contexts(df).select(F.col("series_key").alias("key_a"), F.col("series_key").alias("key_b"), F.lit(0).alias("level")))
+
+
 def explain_flags(flags: Column) -> Column:
     """Lines of text, worst first, otherwise in rule order."""
     placed = F.transform(flags, lambda f, i: F.struct((-f["level"]).alias("l"), i.alias("i"), f.alias("f")))
@@ -176,15 +184,23 @@ def comparable_groups(df: DataFrame, limit: int = 5000) -> DataFrame:
 
     The result is defined by that order, so the fold runs on the driver over distinct series; `limit` refuses more.
     """
-    c = contexts(df).orderBy("series_ord").select("series_key").limit(limit + 1).collect()
+    v = verdicts(df)
+    c = [r.series_key for r in contexts(df).orderBy("series_ord").select("series_key").limit(limit + 1).collect()]
     if len(c) > limit:
         raise ValueError(f"more than {limit} series")
-    bad = {frozenset((r.key_a, r.key_b)) for r in verdicts(df).where("level = 2").select("key_a", "key_b").toLocalIterator()}
-    groups: list[list[str]] = []
-    for (key,) in c:
-        home = next((g for g in groups if all(frozenset((key, m)) not in bad for m in g)), None)
-        groups.append([key]) if home is None else home.append(key)
-    return df.sparkSession.createDataFrame([(k, i) for i, g in enumerate(groups) for k in g], "series_key string, grp int")
+    at = {k: i for i, k in enumerate(c)}
+    foes = np.zeros((len(c), len(c)), bool)
+    for r in v.where("level = 2").select("key_a", "key_b").toLocalIterator():
+        foes[at[r.key_a], at[r.key_b]] = foes[at[r.key_b], at[r.key_a]] = True
+    groups: list[np.ndarray] = []  # for each group, which series some member may not be compared with
+    home = []
+    for i in range(len(c)):
+        g = next((g for g, barred in enumerate(groups) if not barred[i]), len(groups))
+        if g == len(groups):
+            groups.append(np.zeros(len(c), bool))
+        groups[g] |= foes[i]
+        home.append(g)
+    return df.sparkSession.createDataFrame(list(zip(c, home)), "series_key string, grp int")
 
 
 def label_accuracy(pairs: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.quotes import quote_check
-from ..schema import CITABLE
+from ..functions.quotes import quote_check, verify
+from ..schema import CITABLE, FINDING
+from ..sources.connectors import Model
 
 
 def merge(base: DataFrame, extra: DataFrame, key: str = "study_id", order: str = "study_ord") -> DataFrame:
@@ -61,6 +66,35 @@ def extract(docs: DataFrame, max_findings: int = 6) -> DataFrame:
     )
 
 
+ASK = "List the findings of this text on antibody responses. Answer with a JSON object {findings: [{statement, quote, tags}]}; each quote must stand in the text word for word.\n\n"
+
+
+def extract_with(model: Model, docs: DataFrame, shown: int = 12_000) -> DataFrame:
+    """extract(), with the findings of a model for the documents in which it gives some that hold.
+
+    The model sees the abstract (else the full text), at most `shown` characters: a model's window is bounded, and quotes are
+    verified against what it was shown. Tags that are no topics are dropped. Without a model this is extract().
+    """
+    rules = extract(docs)
+    if not model.available:
+        return rules
+    topics = set(tx.TOPICS)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            out = []
+            for doc_id, text in zip(part["doc_id"], part["text"]):
+                told = (model.json(ASK + text) or {}).get("findings")
+                found = [f for f in told if isinstance(f, dict) and verify(str(f.get("quote") or ""), text)[0]] if isinstance(told, list) else []
+                out.append((doc_id, [{"finding_id": f"{doc_id}_m{i}", "statement": str(f.get("statement") or f["quote"]), "quote": str(f["quote"]), "tags": [t for t in f.get("tags") or [] if t in topics], "level": "llm_extracted"} for i, f in enumerate(found)]))
+            yield pd.DataFrame(out, columns=["doc_id", "told"])
+
+    seen = docs.select("doc_id", F.substring(F.coalesce(F.nullif(F.col("abstract"), F.lit("")), "full_text", F.lit("")), 1, shown).alias("text"))
+    told = seen.mapInPandas(run, T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("told", T.ArrayType(FINDING))])).where(F.size("told") > 0)
+    both = rules.join(told.select(F.concat(F.lit("auto_"), "doc_id").alias("study_id"), "told"), "study_id", "left")
+    return both.withColumns({"findings": F.coalesce("told", "findings"), "level": F.when(F.col("told").isNotNull(), "llm_extracted").otherwise(F.col("level"))}).drop("told")
+
+
 def quote_rates(quotes: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:
     """One row: share of quotes accepted (1 if there are none), and of their corruptions rejected."""
     true = quotes.select(quote_check(F.col(quote), F.col(source))["ok"].alias("ok")).agg(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(1.0)).alias("accepted"), F.count(F.lit(1)).alias("n_quotes"))
@@ -69,6 +103,13 @@ def quote_rates(quotes: DataFrame, quote: str = "quote", source: str = "source")
     return true.crossJoin(caught)
 
 
+def verified(quotes: DataFrame, quote: str = "quote", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, dropped, one row with n and rate) of quotes checked against their sources; both lists carry the score."""
+    checked = quotes.withColumn("check", quote_check(F.col(quote), F.col(source))).select("*", F.col("check.score").alias("score"), F.col("check.ok").alias("ok")).drop("check")
+    rate = checked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(1.0)).alias("rate"))
+    return checked.where("ok").drop("ok"), checked.where("NOT ok").drop("ok"), rate
+
+
 def timepoints(studies: DataFrame, last: int = 365) -> DataFrame:
     """Days that citable studies report, within 0 and `last`, sorted."""
     return studies.where(F.col("level").isin(CITABLE)).select(F.explode("timepoints_days").alias("day")).where(F.col("day").between(0, last)).distinct().orderBy("day")

@@ -114,6 +114,25 @@ def top(fused: DataFrame, query_id: str, id_: str, k: int = 5, citable_only: boo
     return ranked(hits.where("citable") if citable_only else hits, query_id, id_, k, "fused")
 
 
+def hybrid(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, k: int = 5, citable_only: bool = True, tags: list[str] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, rank, fused) of the k best chunks: BM25 over stemmed words and synonyms, fused with a ranking by
+    cosine if queries have an `embedding` and vectors (id, embedding) are given.
+
+    docs: (id, text, kind, tags, citable). Without vectors the ranking is lexical alone.
+    """
+    lexical = ranked(bm25(terms(queries, query_id, "text"), terms(docs, id_, "text"), query_id, id_), query_id, id_)
+    rankings = [lexical]
+    if vectors is not None:
+        close = dense(queries.where("embedding IS NOT NULL"), vectors, query_id, id_).where("score IS NOT NULL")
+        rankings.append(ranked(close, query_id, id_))
+    return top(fuse(rankings, docs, query_id, id_, tags), query_id, id_, k, citable_only).select(query_id, id_, "rank", "fused")
+
+
+def study_listing(studies: DataFrame) -> DataFrame:
+    """What a reader sees of an evidence base: one row for each study."""
+    return studies.select("study_id", "citation", "year", "pathogen", "level", F.size("findings").alias("n_findings"), F.coalesce("doi", "pmid", F.lit("")).alias("link"), "not_reported")
+
+
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, query_id: str, id_: str, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
     """One row: mean recall at each k, mean reciprocal rank of the first relevant hit, queries without any."""
     found = relevant.join(hits.select(query_id, id_, "rank"), [query_id, id_], "left").groupBy(query_id)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import search
 from ..operators.comparability import label_accuracy
+from ..operators.evidence import quote_rates
 from ..operators.kinetics import fits
 from ..schema import CONTEXT
 from ..sources.synthetic import PROFILES, Series, arm
@@ -60,3 +62,25 @@ def kinetics(spark: SparkSession, replicates: int = 8, subjects: int = 40, n_boo
     f = fits(data, ["arm_id"], n_boot)
     inside = F.col("ci_peak_day").isNotNull() & F.lit(truth).between(F.col("ci_peak_day.lo") - 7, F.col("ci_peak_day.hi") + 7)
     return gate(f.agg(F.avg(F.abs(F.col("peak_day") - truth) / truth).alias("peak_day_error"), F.avg(inside.cast("double")).alias("ci_coverage")))
+
+
+def retrieval(studies: DataFrame, gold: DataFrame) -> DataFrame:
+    """Recall and reciprocal rank of the lexical search on a gold set (case_id, query, chunk_id)."""
+    chunks = search.chunks(studies)
+    queries = gold.select("case_id", F.col("query").alias("text")).distinct()
+    hits = search.hybrid(queries, chunks, "case_id", "chunk_id", k=5)
+    return gate(search.retrieval_metrics(hits, gold.select("case_id", "chunk_id"), "case_id", "chunk_id"))
+
+
+def extraction(studies: DataFrame) -> DataFrame:
+    """Shares of true quotes accepted and corrupted ones rejected, over findings of studies that have a text."""
+    text = F.concat_ws("\n\n", F.nullif(F.col("abstract"), F.lit("")), F.nullif(F.col("full_text_excerpts"), F.lit("")))
+    quotes = studies.withColumn("source", text).where("source <> ''").select("source", F.inline("findings")).select("source", "quote")
+    return gate(quote_rates(quotes))
+
+
+def run_all(studies: DataFrame, gold: DataFrame, fast: bool = False) -> DataFrame:
+    """Every gated metric: retrieval, extraction, comparability, kinetics (fewer replicates if fast)."""
+    spark = studies.sparkSession
+    out = retrieval(studies, gold).unionByName(extraction(studies)).unionByName(comparability(spark))
+    return out.unionByName(kinetics(spark, 3 if fast else 8, n_boot=60 if fast else 120))

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import VOCABULARY
+from ..sources.connectors import Model
+
 # Words that name a route, platform, pathogen or question; the first entry that hits wins.
 ROUTES = (("intranasal", ("intranasal", "nasal", "nose", "spray", "intranasale")), ("inhaled", ("inhaled", "aerosol")), ("oral", ("oral",)), ("intramuscular", ("intramuscular", "injected", "injection", " im ", "parenteral")))
 PLATFORMS = (
@@ -89,6 +92,25 @@ def read(spark, text: str) -> Scenario:
     return Scenario(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()})
 
 
+PROMPT = "Read this trial scenario. Answer with one JSON object; leave out what the text does not say. Keys: route, platform, pathogen, n_participants, max_visits, follow_up_days, dose_days, age_min, age_max, prior_immunity, pediatric, questions.\n\n"
+
+
+def read_with(model: Model, spark, text: str) -> tuple[Scenario, str]:
+    """(scenario, "model" or "rules"): what the rules read, with those of a model's answers that have the right kind and,
+    where there is a vocabulary, are in it. Without a model or an answer the rules stand alone."""
+    base, got = read(spark, text), model.json(PROMPT + text)
+    listed = {"route": VOCABULARY["route"], "platform": VOCABULARY["platform"], "questions": [q for q, _ in QUESTIONS]}
+    taken = {}
+    for k, v in (got or {}).items():
+        old = getattr(base, k, None)
+        if isinstance(old, tuple) and isinstance(v, list):
+            v = tuple(x for x in v if type(x) is type(old[0]) and x in listed.get(k, v))
+            v = tuple(sorted(v)) if k == "dose_days" else v
+        if v and type(v) is type(old) and (isinstance(v, tuple) or v in listed.get(k, [v])):
+            taken[k] = v
+    return (changed(base, **taken), "model") if taken else (base, "rules")
+
+
 def changed(a: Scenario, **fields) -> Scenario:
     return replace(a, **fields)
 

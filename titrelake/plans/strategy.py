@@ -94,7 +94,7 @@ def propose(s: Scenario, studies: DataFrame, use_design: bool = True, seed: int
     refs = {r.request_id: [x.asDict() for x in r.refs] for r in resolve(wanted, studies).collect()}  # a dozen rows
     options = [{"option_id": r.option_id, "category": r.category, "choice": r.choice, "why": r.why, "review": r.review, "refs": refs[r.option_id], "assumption": not refs[r.option_id]} for r in rules]
     must = sorted({d for r in rules for d in r.days(s) if 0 <= d <= s.follow_up_days})
-    reported = [r.day for r in timepoints(studies, s.follow_up_days).limit(1000).collect()]
+    reported = [r.day for r in timepoints(studies, s.follow_up_days).collect()]  # at most follow_up_days + 1
     days, dropped, criterion = must[: s.max_visits], must[s.max_visits :], float("nan")
     if use_design and len(must) < s.max_visits:
         days, criterion = optimal_days(s.route, s.platform, s.follow_up_days, s.max_visits, must, sorted({*CANDIDATES, *reported}), seed=seed)
@@ -112,3 +112,8 @@ def schedule(plan: Plan, spark) -> DataFrame:
 
 def options_frame(plan: Plan, spark) -> DataFrame:
     return spark.createDataFrame([(i, o["option_id"], o["category"], o["choice"], o["assumption"], [r["finding_id"] for r in o["refs"]]) for i, o in enumerate(plan.options)], "ord int, option_id string, category string, choice string, assumption boolean, finding_ids array<string>").withColumn("support", F.when(F.col("assumption"), "assumption").otherwise(F.concat(F.size("finding_ids").cast("string"), F.lit(" findings"))))
+
+
+def visit_schedule(spark, plan: Plan) -> DataFrame:
+    """(day, kind): the visits of a plan, mandatory or chosen for what they tell."""
+    return spark.createDataFrame([(d, "mandatory" if d in plan.mandatory else "chosen") for d in plan.days], "day int, kind string")

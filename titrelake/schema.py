@@ -58,4 +58,10 @@ EVIDENCE = _struct(studies=T.ArrayType(STUDY))
 SAMPLING = _struct(day=_i, method=_s, window_days=_i)
 ENDPOINT = _struct(endpoint_id=_s, label=_s, compartment=_s, method=_s, isotype=_s, assay=_s, unit=_s, normalization=_s, antigen=_s, primary=T.BooleanType())
 TRIAL = _struct(name=_s, dose_days=T.ArrayType(_i), age_min=_i, age_max=_i, n_participants=_i, max_visits=_i, follow_up_days=_i, sampling=T.ArrayType(SAMPLING), endpoints=T.ArrayType(ENDPOINT))
+REFERENCE = _struct(study_id=_s, finding_id=_s, citation=_s, quote=_s, url=_s)
+OPTION = _struct(option_id=_s, category=_s, choice=_s, why=_s, refs=T.ArrayType(REFERENCE), assumption=T.BooleanType(), review=_s)
+INTERVAL = _struct(lo=_d, hi=_d)
+CURVE = _struct(baseline=_d, peak_value=_d, peak_day=_d, half_life_days=_d, fold_rise=_d, ci_peak_day=INTERVAL, ci_half_life=INTERVAL, n_subjects=_l, n_timepoints=_l, identifiable=T.BooleanType(), notes=T.ArrayType(_s))
+CONTEXT_MODEL = _struct(**{c: _d if c == "lloq" else _s for c in CONTEXT})
 MODELS = {"measurement": MEASUREMENT, "flag": FLAG, "vaccine": VACCINE, "finding": FINDING, "study": STUDY, "evidence": EVIDENCE, "sampling": SAMPLING, "endpoint": ENDPOINT, "trial": TRIAL}
+MODELS |= {"reference": REFERENCE, "option": OPTION, "curve": CURVE, "context": CONTEXT_MODEL}

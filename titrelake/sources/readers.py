@@ -25,8 +25,8 @@ def measurements(spark: SparkSession, path: str) -> DataFrame:
     return with_contract(typed)
 
 
-def measurements_text(spark: SparkSession, text: str) -> DataFrame:
-    """The same from pasted CSV text."""
+def measurements_text(spark: SparkSession, text: str, contract: bool = True) -> DataFrame:
+    """The same from pasted CSV text; without the contract any columns will do (a curve needs subject, day and value)."""
     import csv
     import io
 
@@ -34,7 +34,8 @@ def measurements_text(spark: SparkSession, text: str) -> DataFrame:
     kinds = {f.name: f.dataType for f in MEASUREMENT}
     names = list(rows[0]) if rows else [f.name for f in MEASUREMENT]
     df = spark.createDataFrame([tuple(r[c] or None for c in names) for r in rows], T.StructType([T.StructField(c, T.StringType()) for c in names]))
-    return with_contract(df.select(*[F.col(f"`{c}`").try_cast(kinds.get(c, T.StringType())).alias(c) for c in names]))
+    typed = df.select(*[F.col(f"`{c}`").try_cast(kinds.get(c, T.StringType())).alias(c) for c in names])
+    return with_contract(typed) if contract else typed
 
 
 def evidence(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
@@ -127,3 +128,43 @@ def figure_rows(df: DataFrame, col: str = "figure") -> DataFrame:
     """Measurement rows of accepted figures."""
     s = figure_faults(df, col).where(F.size("faults") == 0).select(F.col(f"{col}.x_axis.unit").alias("xu"), F.col(f"{col}.y_axis.unit").alias("unit"), F.inline(f"{col}.series"))
     return s.select(F.col("name").alias("subject_id"), F.coalesce("compartment_guess", F.lit("serum")).alias("compartment"), "unit", "xu", F.inline("points")).select("subject_id", (F.col("x") * axis_days(F.col("xu"))).alias("day"), F.col("y").alias("value"), "compartment", "unit", F.lit("digitized_from_figure").alias("source"))
+
+
+CELLS = "array<string>"
+METHODS_TABLE = (
+    f"consortia array<struct<name: string, registration: string, study_design: string, upper_airway_verbatim: {CELLS}, lower_airway_verbatim: {CELLS}, assays_verbatim: {CELLS}, platforms_verbatim: {CELLS}, objectives_verbatim: {CELLS}>>, "
+    "method_mapping map<string, string>, method_mapping_notes map<string, string>, assay_mapping map<string, struct<assay: string, isotype: string>>, fields_the_table_does_not_record array<string>"
+)
+
+
+def methods_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(cohorts, methods, assays, fields not recorded) of a published methods table in JSON, as operators.cohorts takes them.
+
+    Cells are as printed; methods and assays map each of them to the vocabulary, or to null with a note.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", METHODS_TABLE).alias("t")).select("t.*")
+    cohorts = whole.select(F.inline("consortia")).select("name", "registration", F.col("upper_airway_verbatim").alias("upper_airway"), F.col("lower_airway_verbatim").alias("lower_airway"), F.col("assays_verbatim").alias("assays"), F.col("objectives_verbatim").alias("objectives"))
+    note = F.coalesce(F.try_element_at(F.coalesce("method_mapping_notes", F.create_map().cast("map<string,string>")), F.col("cell")), F.lit("no immune measurement"))
+    methods = whole.select("method_mapping_notes", F.explode("method_mapping").alias("cell", "method")).select("cell", "method", F.when(F.col("method").isNull(), note).alias("note"))
+    assays = whole.select(F.explode("assay_mapping").alias("cell", "a")).select("cell", "a.assay", "a.isotype", F.when(F.col("a").isNull(), F.lit("no antibody quantity")).alias("note"))
+    return cohorts, methods, assays, whole.first().fields_the_table_does_not_record or []
+
+
+def gold_set(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, query, chunk_id): one row for each relevant chunk of a retrieval gold set (JSON with `cases`)."""
+    cases = spark.read.schema("cases array<struct<query: string, relevant: array<string>>>").json(path, multiLine=True)
+    return cases.select(F.posexplode("cases").alias("case_id", "c")).select("case_id", "c.query", F.explode("c.relevant").alias("chunk_id"))
+
+
+def literature_folder(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Documents of a folder: every *.json literature record with the section texts of <pmcid>.xml, where there is one.
+
+    They stand in the order of their file names; first: that many of them only.
+    """
+    kind = ", ".join(f"{c} string" for c in ("pmid", "id", "pmcid", "doi", "title", "authorString", "pubYear", "abstractText"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    records = spark.read.schema(kind).json(f"{path}/*.json", multiLine=True).withColumn("file", name)
+    xml = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml").select(F.regexp_replace(name, r"\.xml$", "").alias("pmcid"), F.col("value").alias("xml"))
+    files = records.select(F.coalesce("pmid", "id").alias("doc_id"), "file")
+    docs = raw_documents(records, xml).join(files, "doc_id").orderBy("file")
+    return docs if first is None else docs.limit(first)
