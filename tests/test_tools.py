@@ -17,9 +17,9 @@ TABLE = {
         {"name": "ONE", "registration": "N1", "study_design": "x", "upper_airway_verbatim": ["Swab A", "Strip"], "lower_airway_verbatim": ["Scope"], "assays_verbatim": ["IgG/IgA", "Cells"], "platforms_verbatim": [], "objectives_verbatim": ["a"]},
         {"name": "TWO", "study_design": "y", "upper_airway_verbatim": ["Strip"], "lower_airway_verbatim": [], "assays_verbatim": ["IgG/IgA", "Neut"], "platforms_verbatim": ["P"], "objectives_verbatim": []},
     ],
-    "method_mapping": {"Swab A": "nasal_swab", "Strip": "nasosorption", "Scope": None},
+    "method_mapping": {"_comment": "a remark", "Swab A": "nasal_swab", "Strip": "nasosorption", "Scope": None},
     "method_mapping_notes": {"Scope": "no sample"},
-    "assay_mapping": {"IgG/IgA": {"assay": "multiplex_binding", "isotype": "split_IgG_IgA"}, "Cells": None, "Neut": {"assay": "neutralization", "isotype": "na"}},
+    "assay_mapping": {"_comment": "a remark", "IgG/IgA": {"assay": "multiplex_binding", "isotype": "split_IgG_IgA"}, "Cells": None, "Neut": {"assay": "neutralization", "isotype": "na"}},
     "fields_the_table_does_not_record": ["unit", "lloq"],
 }
 CSV = "subject_id,day,value,compartment,method,isotype,assay,unit\n" + "\n".join(f"S{s},{d},{y},{c},{m},IgA,elisa_binding,ug_ml" for c, m in (("nasal", "nasosorption"), ("serum", "serum")) for s in range(8) for d, y in ((0, 1.0), (7, 2.5 + s / 10), (14, 4.0), (28, 3.0), (90, 1.6)))

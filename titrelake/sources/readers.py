@@ -133,7 +133,7 @@ def figure_rows(df: DataFrame, col: str = "figure") -> DataFrame:
 CELLS = "array<string>"
 METHODS_TABLE = (
     f"consortia array<struct<name: string, registration: string, study_design: string, upper_airway_verbatim: {CELLS}, lower_airway_verbatim: {CELLS}, assays_verbatim: {CELLS}, platforms_verbatim: {CELLS}, objectives_verbatim: {CELLS}>>, "
-    "method_mapping map<string, string>, method_mapping_notes map<string, string>, assay_mapping map<string, struct<assay: string, isotype: string>>, fields_the_table_does_not_record array<string>"
+    "method_mapping map<string, string>, method_mapping_notes map<string, string>, assay_mapping map<string, string>, fields_the_table_does_not_record array<string>"
 )
 
 
@@ -145,8 +145,10 @@ def methods_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", METHODS_TABLE).alias("t")).select("t.*")
     cohorts = whole.select(F.inline("consortia")).select("name", "registration", F.col("upper_airway_verbatim").alias("upper_airway"), F.col("lower_airway_verbatim").alias("lower_airway"), F.col("assays_verbatim").alias("assays"), F.col("objectives_verbatim").alias("objectives"))
     note = F.coalesce(F.try_element_at(F.coalesce("method_mapping_notes", F.create_map().cast("map<string,string>")), F.col("cell")), F.lit("no immune measurement"))
-    methods = whole.select("method_mapping_notes", F.explode("method_mapping").alias("cell", "method")).select("cell", "method", F.when(F.col("method").isNull(), note).alias("note"))
-    assays = whole.select(F.explode("assay_mapping").alias("cell", "a")).select("cell", "a.assay", "a.isotype", F.when(F.col("a").isNull(), F.lit("no antibody quantity")).alias("note"))
+    # keys with a leading underscore are remarks
+    methods = whole.select("method_mapping_notes", F.explode("method_mapping").alias("cell", "method")).where("NOT startswith(cell, '_')").select("cell", "method", F.when(F.col("method").isNull(), note).alias("note"))
+    parsed = F.from_json("v", "assay string, isotype string").alias("a")
+    assays = whole.select(F.explode("assay_mapping").alias("cell", "v")).where("NOT startswith(cell, '_')").select("cell", parsed).select("cell", "a.assay", "a.isotype", F.when(F.col("a").isNull(), F.lit("no antibody quantity")).alias("note"))
     return cohorts, methods, assays, whole.first().fields_the_table_does_not_record or []
 
 
