@@ -34,11 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Like cut, as a Parquet table in the checkpoint folder: for wide intermediates, which it compresses."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the checkpoint folder, which clear() removes."""
+    _WRITTEN.append(f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this process has written to the checkpoint folder; their number. For when results are no
+    longer read: they are lazy and need the tables until then."""
+    n = len(_WRITTEN)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A materialised df with narrow rows, marked for broadcast if it has at most `most` rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most else df
