@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine
-from ..functions.text import expand, raw_tokens, with_stem, words
+from ..functions.text import STOP_WORDS, expand, with_stem, words
 from ..schema import CITABLE
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -25,7 +25,9 @@ def chunks(studies: DataFrame) -> DataFrame:
 
 def terms(df: DataFrame, id_: str, text: str, expanded: bool = True) -> DataFrame:
     """(id, term, tf): stemmed tokens with multiplicity. Only distinct words are stemmed, then joined back."""
-    raw = df.select(F.col(id_), F.explode(raw_tokens(F.col(text))).alias("w")).groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
+    # the words of raw_tokens; once exploded they are filtered in generated code, by a hash set of stop words
+    said = df.select(F.col(id_), F.explode(words(F.lower(F.col(text)))).alias("w")).where((F.length("w") > 1) & ~F.col("w").isin(STOP_WORDS))
+    raw = said.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
     root = F.array("s")
     stems = with_stem(raw.select("w").distinct(), "w", "s").select("w", (expand(root) if expanded else root).alias("terms"))
     return raw.join(stems, "w").select(id_, "n", F.explode("terms").alias("term")).groupBy(id_, "term").agg(F.sum("n").alias("tf"))
@@ -83,8 +85,10 @@ def containing(passages: DataFrame, docs: DataFrame, passage_id: str, id_: str,
     inner = F.regexp_extract_all("__p", F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
     p = p.withColumn("__w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     d = docs.select(id_, F.lower(F.col(text)).alias("__t"))
-    words_ = d.select(id_, F.explode(F.array_distinct(words(F.col("__t")))).alias("__w"))
-    found = words_.join(p.where("__w IS NOT NULL"), "__w").join(d, id_).where(F.contains("__t", "__p"))
+    keyed = p.where("__w IS NOT NULL")
+    wanted = small(keyed.select("__w").distinct())  # few words: documents are looked up where they are
+    words_ = d.select(id_, F.explode(words(F.col("__t"))).alias("__w")).join(wanted, "__w", "left_semi").distinct()
+    found = words_.join(keyed, "__w").join(d, id_).where(F.contains("__t", "__p"))
     brief = p.where("__w IS NULL AND __p IS NOT NULL")
     out = found.select(passage_id, id_)
     return out if brief.isEmpty() else out.unionByName(d.join(small(brief), F.contains("__t", "__p")).select(passage_id, id_))
