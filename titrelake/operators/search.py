@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.math import cosine
 from ..functions.text import STOP_WORDS, expand, with_stem, words
 from ..schema import CITABLE
+from ..session import spread
 
 K1, B, RRF = 1.5, 0.75, 60
 WEIGHTS = {"finding": 1.0, "abstract": 0.45}
@@ -24,13 +25,12 @@ def chunks(studies: DataFrame) -> DataFrame:
 
 
 def terms(df: DataFrame, id_: str, text: str, expanded: bool = True) -> DataFrame:
-    """(id, term, tf): stemmed tokens with multiplicity. Only distinct words are stemmed, then joined back."""
+    """(id, term, tf): stemmed tokens with multiplicity, and the stemmed synonyms of each if expanded."""
     # the words of raw_tokens; once exploded they are filtered in generated code, by a hash set of stop words
-    said = df.select(F.col(id_), F.explode(words(F.lower(F.col(text)))).alias("w")).where((F.length("w") > 1) & ~F.col("w").isin(STOP_WORDS))
-    raw = said.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
+    said = spread(df.select(F.col(id_), F.col(text))).select(F.col(id_), F.explode(words(F.lower(F.col(text)))).alias("w")).where((F.length("w") > 1) & ~F.col("w").isin(STOP_WORDS))
+    stems = with_stem(said.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n")), "w", "s")
     root = F.array("s")
-    stems = with_stem(raw.select("w").distinct(), "w", "s").select("w", (expand(root) if expanded else root).alias("terms"))
-    return raw.join(stems, "w").select(id_, "n", F.explode("terms").alias("term")).groupBy(id_, "term").agg(F.sum("n").alias("tf"))
+    return stems.select(id_, "n", F.explode(expand(root) if expanded else root).alias("term")).groupBy(id_, "term").agg(F.sum("n").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -50,9 +50,12 @@ def bm25(queries: DataFrame, postings: DataFrame, query_id: str, id_: str, n_doc
     queries: (query_id, term, tf). The postings are reduced to the queries' terms before lengths are joined, so only
     matching documents are touched; n_docs overrides the one-row (n, avgdl), if documents without terms count.
     """
-    length, freq, whole = corpus_stats(postings, id_)
+    length, _, whole = corpus_stats(postings, id_)
     q = queries.withColumnRenamed("tf", "qtf")
-    hit = postings.join(q, "term").join(freq, "term").join(length, id_).crossJoin(F.broadcast(n_docs if n_docs is not None else whole))
+    sent = F.broadcast if q.limit(50_001).count() <= 50_000 else lambda df: df  # of rows by term no more than the queries have
+    kept = postings.join(sent(q.select("term").distinct()), "term", "left_semi")
+    freq = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hit = kept.join(sent(q), "term").join(sent(freq), "term").join(length, id_).crossJoin(F.broadcast(n_docs if n_docs is not None else whole))
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query_id, id_).agg(F.sum(part).alias("score"))
 
@@ -84,7 +87,7 @@ def containing(passages: DataFrame, docs: DataFrame, passage_id: str, id_: str,
     p = passages.select(passage_id, F.lower(F.col(passage)).alias("__p"))
     inner = F.regexp_extract_all("__p", F.lit("(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
     p = p.withColumn("__w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    d = docs.select(id_, F.lower(F.col(text)).alias("__t"))
+    d = spread(docs.select(id_, F.col(text))).select(id_, F.lower(F.col(text)).alias("__t"))
     keyed = p.where("__w IS NOT NULL")
     wanted = small(keyed.select("__w").distinct())  # few words: documents are looked up where they are
     words_ = d.select(id_, F.explode(words(F.col("__t"))).alias("__w")).join(wanted, "__w", "left_semi").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "titrelake", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -15,3 +15,11 @@ def session(app: str = "titrelake", master: str | None = None, partitions: int |
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame, bytes_a_core: int = 16 << 20) -> DataFrame:
+    """df dealt out over all cores if it is small, by the optimizer's estimate: a small table is often one file and so one
+    task, however costly the work on its rows. A large one has many splits and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_a_core else df
