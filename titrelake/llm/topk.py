@@ -138,12 +138,14 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
 
     blocks = cut(split.groupBy("pivot", "block").applyInPandas(bundle, "pivot int, block int, qids binary, qs binary"))
 
-    def due(part: pd.DataFrame, start: int, end: int) -> Iterator[tuple[pd.Series, np.ndarray]]:
-        """For each block of queries: which query visits which annulus as one of its start-th to end-th nearest."""
+    def due(part: pd.DataFrame, start: int, end: int) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray]]:
+        """For each block of queries: which query visits which annulus as one of its start-th to end-th nearest, and the
+        queries' k-th scores so far (the least number where there are fewer)."""
         for row in part.itertuples():
             v = np.frombuffer(row.qs, kind).reshape(-1, dim).astype(float)
             least = {e["query_id"]: e["least"] for e in row.limits} if row.limits is not None else {}
-            s = np.array([least.get(int(q), -np.inf) for q in np.frombuffer(row.qids, np.int64)])
+            so_far = [least.get(int(q)) for q in np.frombuffer(row.qids, np.int64)]
+            s = np.array([-np.inf if x is None else x for x in so_far])
             reach = np.sqrt(np.maximum(0.0, (v**2).sum(axis=1) + top - 2 * s)) * (1 + 1e-9) + 1e-6  # ties are not cut off
             on = []
             for i in range(0, len(v), 64):  # few at a time: rings are up to some ten thousand
@@ -153,22 +155,22 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
                     np.maximum(bound, np.maximum(low[:, m][None] - d[:, m, None], d[:, m, None] - high[:, m][None]), out=bound)
                 place_of = bound.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
                 on.append((place_of >= start) & (place_of < end) & (bound <= reach[i : i + 64, None]))
-            yield row, np.concatenate(on)
+            yield row, np.concatenate(on), np.array([np.iinfo(np.int64).min if x is None else x for x in so_far], dtype=np.int64)
 
     def visit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each (block of queries, cell): the k best of the cell for each query."""
+        """Each (block of queries, cell): for each query what is no worse than its k-th score so far, the k best at most."""
         for part in it:
-            for qids, qs, ids, vs in zip(part["qids"], part["qs"], part["ids"], part["vs"]):
+            for qids, qs, least, ids, vs in zip(part["qids"], part["qs"], part["least"], part["ids"], part["vs"]):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 scores = _products(*(np.frombuffer(x, kind).reshape(-1, dim).astype(np.int64) for x in (qs, vs)))
-                out = []
-                for q, s in zip(qids, scores):
-                    at = _best(s, ids, k + 1)
-                    at = at[ids[at] != q][:k] if (ids[at] == q).any() else at[:k]
-                    if len(at) < k:  # the id may repeat beyond k + 1
-                        other = np.flatnonzero(ids != q)
-                        at = other[_best(s[other], ids[other], k)]
-                    out.append((np.full(len(at), q), ids[at], s[at]))
+                good = (scores >= np.frombuffer(least, np.int64)[:, None]) & (qids[:, None] != ids)
+                many = good.sum(axis=1) > k
+                rows, cols = np.nonzero(good & ~many[:, None])
+                out = [(qids[rows], ids[cols], scores[rows, cols])]
+                for i in np.flatnonzero(many):
+                    on = np.flatnonzero(good[i])
+                    on = on[_best(scores[i, on], ids[on], k)]
+                    out.append((np.full(len(on), qids[i]), ids[on], scores[i, on]))
                 a, b, c = (np.concatenate(x) for x in zip(*out))
                 yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
@@ -188,23 +190,23 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
 
         def count(it: Iterator[pd.DataFrame], start: int = start, end: int = end) -> Iterator[pd.DataFrame]:
             for part in it:
-                yield pd.DataFrame({"n": [int((on * shell[:, 3]).sum()) for _, on in due(part, start, end)]}, dtype="int64")
+                yield pd.DataFrame({"n": [int((on * shell[:, 3]).sum()) for _, on, _ in due(part, start, end)]}, dtype="int64")
 
         def expand(it: Iterator[pd.DataFrame], start: int = start, end: int = end) -> Iterator[pd.DataFrame]:
             for part in it:
-                for row, on in due(part, start, end):
+                for row, on, least in due(part, start, end):
                     ids, v = np.frombuffer(row.qids, np.int64), np.frombuffer(row.qs, kind).reshape(-1, dim)
                     for j in np.flatnonzero(on.any(axis=0)).tolist():
                         n, own = int(shell[j, 2]) + 1, on[:, j]
-                        yield pd.DataFrame({"pivot": [int(shell[j, 0])] * n, "ring": [int(shell[j, 1])] * n, "part": range(n), "qids": [ids[own].tobytes()] * n, "qs": [v[own].tobytes()] * n})
+                        yield pd.DataFrame({"pivot": [int(shell[j, 0])] * n, "ring": [int(shell[j, 1])] * n, "part": range(n), "qids": [ids[own].tobytes()] * n, "qs": [v[own].tobytes()] * n, "least": [least[own].tobytes()] * n})
 
         pairs = todo.mapInPandas(count, "n bigint").agg(F.sum("n")).first()[0] or 0
         if not pairs:  # the next annuli are beyond every query's reach, so those after them are too
             break
         if scored is not None:
             scored.append(pairs)
-        visits = todo.mapInPandas(expand, "pivot int, ring int, part int, qids binary, qs binary")
-        found = visits.join(index, ["pivot", "ring", "part"]).select("qids", "qs", "ids", "vs").mapInPandas(visit, FOUND)
+        visits = todo.mapInPandas(expand, "pivot int, ring int, part int, qids binary, qs binary, least binary")
+        found = visits.join(index, ["pivot", "ring", "part"]).select("qids", "qs", "least", "ids", "vs").mapInPandas(visit, FOUND)
         best = cut(kept(found if best is None else found.unionByName(best.select("query_id", "vec_id", "score"))))
         start, end = end, end + growth * (end - start)
     if best is None:
