@@ -53,6 +53,11 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))]
 
 
+def _found(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b, c = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+
+
 def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first choice of up to n rows."""
     if not len(sample):
@@ -160,25 +165,30 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
     def visit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each (block of queries, cell): for each query what is no worse than its k-th score so far, the k best at most."""
         for part in it:
+            out = []
             for qids, qs, least, ids, vs in zip(part["qids"], part["qs"], part["least"], part["ids"], part["vs"]):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 scores = _products(*(np.frombuffer(x, kind).reshape(-1, dim).astype(np.int64) for x in (qs, vs)))
                 good = (scores >= np.frombuffer(least, np.int64)[:, None]) & (qids[:, None] != ids)
                 many = good.sum(axis=1) > k
                 rows, cols = np.nonzero(good & ~many[:, None])
-                out = [(qids[rows], ids[cols], scores[rows, cols])]
+                out.append((qids[rows], ids[cols], scores[rows, cols]))
                 for i in np.flatnonzero(many):
                     on = np.flatnonzero(good[i])
                     on = on[_best(scores[i, on], ids[on], k)]
                     out.append((np.full(len(on), qids[i]), ids[on], scores[i, on]))
-                a, b, c = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+                if sum(len(x[0]) for x in out) >= 50_000:
+                    yield _found(out)
+                    out = []
+            if out:
+                yield _found(out)
 
     def kept(found: DataFrame) -> DataFrame:
         """The k best of what was found for each query, in order."""
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+    visit_of = ["pivot", "ring", "part", "qids", "qs", "least"]
     best, start, end = None, 0, 2
     while start < len(shell):
         if best is None:
@@ -195,10 +205,16 @@ def search(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding
         def expand(it: Iterator[pd.DataFrame], start: int = start, end: int = end) -> Iterator[pd.DataFrame]:
             for part in it:
                 for row, on, least in due(part, start, end):
-                    ids, v = np.frombuffer(row.qids, np.int64), np.frombuffer(row.qs, kind).reshape(-1, dim)
+                    ids, v, out = np.frombuffer(row.qids, np.int64), np.frombuffer(row.qs, kind).reshape(-1, dim), []
                     for j in np.flatnonzero(on.any(axis=0)).tolist():
-                        n, own = int(shell[j, 2]) + 1, on[:, j]
-                        yield pd.DataFrame({"pivot": [int(shell[j, 0])] * n, "ring": [int(shell[j, 1])] * n, "part": range(n), "qids": [ids[own].tobytes()] * n, "qs": [v[own].tobytes()] * n, "least": [least[own].tobytes()] * n})
+                        own = on[:, j]
+                        queries = ids[own].tobytes(), v[own].tobytes(), least[own].tobytes()
+                        out += [(int(shell[j, 0]), int(shell[j, 1]), p, *queries) for p in range(int(shell[j, 2]) + 1)]
+                        if len(out) >= 64:  # a frame for each would cost more than the visits
+                            yield pd.DataFrame(out, columns=visit_of)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=visit_of)
 
         pairs = todo.mapInPandas(count, "n bigint").agg(F.sum("n")).first()[0] or 0
         if not pairs:  # the next annuli are beyond every query's reach, so those after them are too
