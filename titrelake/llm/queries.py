@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, licenses, mixing, quality, sharding, simhash, substring, topk, urls
+from . import decontamination, html, licenses, mixing, packing, quality, runs, sharding, simhash, substring, topk, urls, whitening
 
 
 def _on(report: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_decontaminate": _on(decontamination.leak_report, "documents", "benchmark"),
     "op9_html_text": _on(html.page_report, "pages"),
     "op10_shards": _on(sharding.shard_report, "documents"),
+    "op11_runs": _on(runs.run_report, "documents"),
+    "op12_packing": _on(packing.pack_report, "documents"),
+    "op13_whitening": _on(whitening.whiten, "embeddings"),
 }
 
 SQL = {"op1_mix_sources": mixing.ORACLE, "op3_exact_topk": topk.ORACLE, "op7_url_filter": urls.ORACLE}
