@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULTS, FOLD_KEY, METHOD_COMPARTMENT, REQUIRED, UNIT_FACTORS, VOCABULARY
+from .quantiles import quantiles
 
 
 def with_contract(df: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def fold_rise(df: DataFrame) -> DataFrame:
     """
     keys = ["subject_id", *[c for c in FOLD_KEY if c in df.columns]]
     d = df.where(F.col("value").isNotNull())
-    base = d.where("day = 0").groupBy(*keys).agg(F.median("value").alias("baseline")).where("baseline > 0")
+    base = quantiles(d.where("day = 0"), keys, "value", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("baseline")).where("baseline > 0")
     base = base.select(*[F.col(k).alias("__" + k) for k in keys], "baseline")
     on = None
     for k in keys:
@@ -78,13 +79,13 @@ def fold_rise(df: DataFrame) -> DataFrame:
 
 def fold_quartiles(df: DataFrame) -> DataFrame:
     """Quartiles of fold-rise by compartment, method, arm and day."""
-    g = fold_rise(df).groupBy("compartment", "method", "arm_id", "day")
-    q = g.agg(F.percentile("fold_rise", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    return q.select("compartment", "method", "arm_id", "day", "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("med"), F.get("q", F.lit(2)).alias("q3"))
+    by = ["compartment", "method", "arm_id", "day"]
+    at = [F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "med", "q3"))]
+    return quantiles(fold_rise(df), by, "fold_rise", [0.25, 0.5, 0.75]).select(*by, "n", *at)
 
 
 def median_by_day(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.where("value > 0").groupBy(*by, "day").agg(F.median("value").alias("med"), F.count(F.lit(1)).alias("n"))
+    return quantiles(df.where("value > 0"), [*by, "day"], "value", [0.5]).select(*by, "day", F.get("q", F.lit(0)).alias("med"), "n")
 
 
 def peak_by_median(df: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Session factory with the settings the library expects."""
+"""Session factory with the settings the library expects, and the shared folder for what a job writes in between."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,42 @@ def spread(df: DataFrame, bytes_a_core: int = 16 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * bytes_a_core else df
+
+
+_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or one folder of our own for this process if Spark runs in it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="titrelake-"))
+    return _LOCAL[0]
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which clear() removes."""
+    _WRITTEN.append(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written(df: DataFrame, kind: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads neither repeat its plan nor depend on executors."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder; how much. Results are lazy and need it until they are read."""
+    n = len(_WRITTEN)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
