@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTEXT, DEFAULTS, LEVELS, MUCOSAL, SERIES_KEY, UNIT_FACTORS
+from ..session import written
 
 Side = Callable[[str], Column]
 #: (code, level, message and remedy builders) in order of evaluation; a rule that does not apply gives null.
@@ -178,29 +178,54 @@ def audit(df: DataFrame, min_timepoints: int = 4) -> DataFrame:
     return out.select("series", "n_subjects", "n_timepoints", "below_lloq", "missing", "flags", sure.alias("uncertainty"))
 
 
-def comparable_groups(df: DataFrame, limit: int = 5000) -> DataFrame:
+#: Columns that a verdict of not_comparable can depend on; of the source only whether it is synthetic matters.
+DECISIVE = ("compartment", "method", "assay", "isotype", "normalization", "unit")
+#: Kinds of series that are put into groups on the driver; more are in rounds of jobs.
+FOLDED = 2000
+
+
+def comparable_groups(df: DataFrame, folded: int = FOLDED) -> DataFrame:
     """(series_key, grp): each series, in order of appearance, joins the first group in which it is comparable, at
     least conditionally, with every member.
 
-    The result is defined by that order, so the fold runs on the driver over distinct series; `limit` refuses more.
+    Series that are alike in the decisive columns have the same foes and are none of each other, so all of a kind go where
+    the first of them goes, and only kinds are compared and grouped. Their number is bounded by the vocabularies, not by the
+    data; beyond `folded` (free text in those columns) they settle in rounds, each once all its earlier foes have.
     """
-    v = verdicts(df)
-    c = [r.series_key for r in contexts(df).orderBy("series_ord").select("series_key").limit(limit + 1).collect()]
-    if len(c) > limit:
-        raise ValueError(f"more than {limit} series")
-    at = {k: i for i, k in enumerate(c)}
-    foes = np.zeros((len(c), len(c)), bool)
-    for r in v.where("level = 2").select("key_a", "key_b").toLocalIterator():
-        foes[at[r.key_a], at[r.key_b]] = foes[at[r.key_b], at[r.key_a]] = True
-    groups: list[np.ndarray] = []  # for each group, which series some member may not be compared with
-    home = []
-    for i in range(len(c)):
-        g = next((g for g, barred in enumerate(groups) if not barred[i]), len(groups))
-        if g == len(groups):
-            groups.append(np.zeros(len(c), bool))
-        groups[g] |= foes[i]
-        home.append(g)
-    return df.sparkSession.createDataFrame(list(zip(c, home)), "series_key string, grp int")
+    cols = [F.col(c) for c in DECISIVE] + [(F.coalesce(F.col("source"), F.lit("")) == "synthetic")]
+    c = written(contexts(df).withColumn("kind", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})), "contexts")
+    kinds = c.groupBy("kind").agg(F.min("series_ord").alias("ord"), F.min_by(F.struct(*CONTEXT), "series_ord").alias("x"))
+    a, b = (kinds.select(F.col("kind").alias(f"kind_{s}"), F.col("ord").alias(f"ord_{s}"), F.col("x").alias(s)) for s in "ab")
+    foes = compare(a.join(b, F.col("ord_a") < F.col("ord_b"))).where("level = 2").select("kind_a", "kind_b")
+    few = kinds.select("kind", "ord").limit(folded + 1).collect()
+    homes = _folded(few, foes) if len(few) <= folded else _settled(kinds.select("kind"), foes)
+    return c.join(homes, "kind").select("series_key", "grp")
+
+
+def _folded(kinds: list, foes: DataFrame) -> DataFrame:
+    earlier: dict[str, list[str]] = {}
+    for r in foes.toLocalIterator():
+        earlier.setdefault(r.kind_b, []).append(r.kind_a)
+    home: dict[str, int] = {}
+    for r in sorted(kinds, key=lambda r: r.ord):
+        barred = {home[k] for k in earlier.get(r.kind, ())}
+        home[r.kind] = next(g for g in range(len(home) + 1) if g not in barred)
+    return foes.sparkSession.createDataFrame(list(home.items()), "kind string, grp int")
+
+
+def _settled(kinds: DataFrame, foes: DataFrame) -> DataFrame:
+    """Rounds: kinds whose earlier foes all have a group take the first that none of these has."""
+    foes, left = written(foes, "foes"), written(kinds, "kinds")
+    homes = left.limit(0).withColumn("grp", F.lit(0))
+    while not left.isEmpty():
+        blocked = foes.join(left.withColumnRenamed("kind", "kind_a"), "kind_a", "left_semi").select(F.col("kind_b").alias("kind")).distinct()
+        met = foes.join(homes.withColumnRenamed("kind", "kind_a"), "kind_a").groupBy(F.col("kind_b").alias("kind")).agg(F.collect_set("grp").alias("barred"))
+        now = left.join(blocked, "kind", "left_anti").join(met, "kind", "left")
+        barred = F.coalesce("barred", F.array().cast("array<int>"))
+        now = now.select("kind", F.array_min(F.array_except(F.sequence(F.lit(0), F.size(barred)), barred)).alias("grp"))
+        homes = written(homes.unionByName(now), "groups")
+        left = written(left.join(homes, "kind", "left_anti"), "kinds")
+    return homes
 
 
 def label_accuracy(pairs: DataFrame) -> DataFrame:
