@@ -56,7 +56,7 @@ def test_every_tool_answers_in_json(kit, spark):
     assert (r["verdict"], r["flags"][0]["code"]) == ("conditional", "UNIT_CONVERTIBLE")
     assert "Visits:" in kit.call("propose_strategy", scenario_text=cli.SCENARIO)
     tasks = kit.call("generate_roadmap", scenario_text=cli.SCENARIO)
-    assert tasks[0]["task_id"].startswith("T") and {"lab", "biostatistician"} & {t["owner"] for t in tasks}
+    assert tasks[0]["task_id"].startswith("T") and {"lab lead", "biostatistician"} & {t["owner"] for t in tasks}
     fit = kit.call("fit_kinetic_curve", csv_text="subject_id,day,value\n" + "\n".join(x.split(",nasal")[0] for x in CSV.split("\n")[1:41]), n_boot=30)
     assert fit["identifiable"] and 5 < fit["peak_day"] < 40 and fit["n_subjects"] == 8
     report = kit.call("comparability_report", csv_text=CSV)

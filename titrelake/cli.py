@@ -76,11 +76,11 @@ def roadmap(a) -> None:
     from .plans import agent
     from .plans import roadmap as r
     from .sources import synthetic
-    from .sources.sinks import markdown
 
     spark = session("roadmap", a.master)
     studies = _studies(spark, a.evidence)
-    _show(markdown(r.calendar(r.build(agent.run(a.scenario, studies), studies, synthetic.demo(spark, 20)), date.fromisoformat(a.start)), "Roadmap"))
+    run = agent.run(a.scenario, studies)
+    _show(r.document(run, r.build(run, studies, synthetic.demo(spark, 20)), date.fromisoformat(a.start)))
 
 
 def synth(a) -> None:
