@@ -104,3 +104,22 @@ def test_kept_columns_with_added_names(spark):
     long = "one two three four five six seven eight nine ten eleven"
     s = licenses.scan(spark.createDataFrame([(1, "x " + long), (2, long[:-7])], "doc_id long, text string"), phrases={long: "long"}).collect()
     assert [(r.n_base, r.first_word) for r in sorted(s, key=lambda r: r.doc_id)] == [(1, 1), (0, None)]
+
+
+def test_many_words_one_a_line_take_seconds():
+    """The work is linear in the text: whole licenses over and over, a word a line."""
+    import time
+
+    templates = licenses.TEMPLATES + licenses.WHOLE_TEXTS
+    v = licenses.Vocabulary(templates, licenses.PHRASES)
+    join = licenses.Join(v, np.arange(len(v.words))[::-1].copy(), templates, 0.9)
+    once = [w for _, t in licenses.WHOLE_TEXTS for w in licenses.words_of(t)]
+    times = 100_000 // len(once) + 1
+    text = "\n".join(once * times).encode()
+    page = licenses.Page(v, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    began = time.process_time()
+    found = list(join.runs(join.rank[page.ids[page.hits]], page.hits, [*range(len(page.starts)), len(page.starts)]))
+    assert time.process_time() - began < 60
+    assert len(page.starts) >= 100_000
+    of = {k: sum(1 for x, _, _ in found if x == k) for k in range(len(templates))}
+    assert all(of[k] >= times for k in range(len(templates) - len(licenses.WHOLE_TEXTS), len(templates)))

@@ -12,7 +12,6 @@ is in the block however it is wrapped.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
@@ -178,37 +177,56 @@ class Join:
         """(template, line, containment) of the blocks of one text that contain a template and need their first line for it.
 
         ranks and hits: the vocabulary words and their places in the text; first: the place of each line's first word, and
-        the text's length at last.
+        the text's length at last. A template's block from each line slides over the text: a word adds one distinct token to
+        those starts (an interval of them) whose block holds it and no earlier one of its kind. Linear in the text for each
+        template that has a prefix token there.
         """
-
-        def share(k: int, start: int, end: int) -> float:
-            a, b = np.searchsorted(hits, [first[start], first[end]])
-            return dict(self.matches(sorted(set(ranks[a:b].tolist())), first[end] - first[start])).get(k, 0.0)
-
-        tried = defaultdict(int)  # by template: blocks that start before this line are done
-        found = defaultdict(list)
-        for i in np.flatnonzero(self.in_prefix[ranks]).tolist():
-            line = bisect_right(first, int(hits[i])) - 1
-            for k, _ in self.by_prefix[int(ranks[i])]:
-                end = lambda start: min(len(first) - 1, bisect_left(first, first[start + 1] + self.words[k]))  # noqa: B023, E731
-                lo = max(tried[k], bisect_right(first, first[line] - self.words[k]) - 1)
-                tried[k] = max(tried[k], line + 1)
-                if lo > line or not share(k, lo, end(line)):
-                    continue
-                for start in range(lo, line + 1):
-                    best = share(k, start, end(start))
-                    if not best:
+        first = np.asarray(first)
+        near = {k for token in np.unique(ranks[self.in_prefix[ranks]]).tolist() for k, _ in self.by_prefix[token]}
+        for k in sorted(near):
+            tokens, need = np.asarray(self.templates[k][1]), self.need[k]
+            place = np.minimum(np.searchsorted(tokens, ranks), len(tokens) - 1)
+            own = tokens[place] == ranks
+            at, token = hits[own], place[own]
+            if len(np.unique(token)) < need:
+                continue
+            end = np.minimum(len(first) - 1, np.searchsorted(first, first[1:] + self.words[k]))
+            lo, hi = np.searchsorted(at, first[:-1]), np.searchsorted(at, first[end])
+            order = np.argsort(token, kind="stable")
+            before = np.full(len(at), -1)
+            same = token[order[1:]] == token[order[:-1]]
+            before[order[1:][same]] = order[:-1][same]
+            i = np.arange(len(at))
+            enter = np.maximum(np.searchsorted(lo, before, side="right"), np.searchsorted(hi, i, side="right"))
+            leave = np.searchsorted(lo, i, side="right")
+            steps = np.zeros(len(first) + 1, np.int64)
+            np.add.at(steps, enter, 1)
+            np.add.at(steps, np.maximum(leave, enter), -1)
+            rare = np.concatenate([[0], np.cumsum(token <= len(tokens) - need)])  # places of the prefix
+            good = (rare[hi] > rare[lo]) & (first[end] - first[:-1] >= need) & (np.cumsum(steps)[: len(lo)] >= need)
+            found: list[tuple[int, int, float]] = []
+            for start in np.flatnonzero(good).tolist():
+                reach = self._reach(at, token, int(lo[start]), int(hi[start]), len(tokens))
+                held = reach[reach >= 0]
+                best = len(held) / len(tokens)
+                upto = int(np.searchsorted(first, held.max(), side="right"))
+                if start + 1 < upto:
+                    rest = self._reach(at, token, int(lo[start + 1]), int(np.searchsorted(at, first[upto])), len(tokens))
+                    if np.count_nonzero(rest >= 0) == len(held):
                         continue
-                    upto = next(e for e in range(start + 1, end(start) + 1) if share(k, start, e) == best)
-                    if start + 1 < upto and share(k, start + 1, upto) == best:
+                if found and found[-1][1] > start:  # the rest of a notice that starts before, or its better part
+                    if found[-1][2] >= best:
                         continue
-                    if found[k] and found[k][-1][1] > start:  # the rest of a notice that starts before, or its better part
-                        if found[k][-1][2] >= best:
-                            continue
-                        found[k].pop()
-                    found[k].append((start, upto, best))
-        for k, got in sorted(found.items()):
-            yield from ((k, start, best) for start, _, best in got)
+                    found.pop()
+                found.append((start, upto, best))
+            yield from ((k, start, best) for start, _, best in found)
+
+    @staticmethod
+    def _reach(at: np.ndarray, token: np.ndarray, lo: int, hi: int, n: int) -> np.ndarray:
+        """For each of n tokens its first place among the hits lo to hi, or -1."""
+        out = np.full(n, -1)
+        out[token[lo:hi][::-1]] = at[lo:hi][::-1]
+        return out
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES + WHOLE_TEXTS, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
