@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.quotes import quote_check, verify
+from ..functions.quotes import WORD, normal, quote_check, verify
 from ..schema import CITABLE, FINDING
+from ..session import spread
 from ..sources.connectors import Model
 
 
@@ -103,6 +106,93 @@ def quote_rates(quotes: DataFrame, quote: str = "quote", source: str = "source")
     return true.crossJoin(caught)
 
 
+#: Quotes that are looked for in one pass over the documents.
+QUOTES_A_PASS = 50_000
+
+
+class _Finder:
+    """Where the words of some quotes stand in texts: each quote as it is, or its words in a row, each as often, in any order."""
+
+    def __init__(self, quotes: list[str]) -> None:
+        import ahocorasick
+
+        self.quotes = [normal(q) for q in quotes]
+        self.exact = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
+        for i, q in enumerate(self.quotes):
+            if q:
+                same.setdefault(q, []).append(i)
+        for q, at in same.items():
+            self.exact.add_word(q, at)
+        if same:
+            self.exact.make_automaton()
+        said = [WORD.findall(q) for q in self.quotes]
+        self.code = {w: int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for ws in said for w in ws}
+        # by length: sums of the words' codes, sorted, and the quotes with that sum
+        self.sums: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for n in {len(ws) for ws in said} - {0}:
+            own = sorted((sum(self.code[w] for w in ws) % (1 << 64), i) for i, ws in enumerate(said) if len(ws) == n)
+            self.sums[n] = np.array([k for k, _ in own], np.uint64), [i for _, i in own]
+
+    def pairs(self, texts: list[str]) -> Iterator[tuple[int, int, bool]]:
+        """(text, quote, whether the text holds it as it is) by number; texts are normal."""
+        found = {(k, i) for k, t in enumerate(texts) for _, at in (self.exact.iter(t) if len(self.exact) else ()) for i in at}
+        yield from ((k, i, True) for k, i in found)
+        said = [[self.code.get(w, -1) for w in WORD.findall(t)] for t in texts]
+        flat = np.array([c for ws in said for c in (*ws, -1)], dtype=object)
+        foreign = flat == -1  # so is the end of a text
+        codes = np.where(foreign, 0, flat).astype(np.uint64)
+        upto, gaps = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(codes, out=upto[1:])
+        np.cumsum(foreign, out=gaps[1:])
+        ends = np.cumsum([len(ws) + 1 for ws in said])
+        seen = set()
+        for n, (keys, of) in self.sums.items():
+            whole = np.flatnonzero(gaps[n:] == gaps[:-n])
+            run = upto[whole + n] - upto[whole]
+            lo, hi = np.searchsorted(keys, run), np.searchsorted(keys, run, side="right")
+            for j in np.flatnonzero(hi > lo).tolist():
+                k = int(np.searchsorted(ends, whole[j], side="right"))
+                seen.update((k, of[x]) for x in range(lo[j], hi[j]))
+        yield from ((k, i, False) for k, i in seen - found)
+
+
+def quotes_found(quotes: DataFrame, docs: DataFrame, quote_id: str, id_: str, quote: str = "quote", source: str = "source", a_pass: int = QUOTES_A_PASS) -> DataFrame:
+    """(quote_id, id, ok, score) of verify() for every quote and every document that has its words in a row: all pairs whose
+    score is above 0, without comparing each quote with each document.
+
+    The sum of a word's codes over a window of as many words as the quote has is the same in any order; a pass over the
+    documents, which stay where they are, takes these sums from running totals and looks them up, and looks for all quotes as
+    they stand by one automaton. Quotes are a stated set, sent to the tasks in blocks of `a_pass`. Null and empty quotes and
+    texts give nothing.
+    """
+    q = quotes.select(F.col(quote_id).alias("q"), F.col(quote).alias("t")).where("t IS NOT NULL")
+    blocks = max(1, -(-q.count() // a_pass))
+    d = spread(docs.select(F.col(id_).alias("d"), F.col(source).alias("t")).where("t IS NOT NULL"))
+    spec = f"q {dict(q.dtypes)['q']}, d {dict(d.dtypes)['d']}, ok boolean, score double"
+
+    def block(k: int) -> DataFrame:
+        rows = q.where(F.pmod(F.xxhash64("q", "t"), F.lit(blocks)) == k).collect()  # some a_pass quotes
+        ids, said = [r.q for r in rows], [r.t for r in rows]
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = _Finder(said)
+            for part in it:
+                for at in range(0, len(part), 256):
+                    names, raw = part["d"].iloc[at : at + 256].tolist(), part["t"].iloc[at : at + 256].tolist()
+                    texts = [normal(t) for t in raw]
+                    out = [(ids[i], names[j], True, 1.0) if exact else (ids[i], names[j], *verify(said[i], raw[j])) for j, i, exact in finder.pairs(texts)]
+                    if out:
+                        yield pd.DataFrame(out, columns=["q", "d", "ok", "score"])
+
+        return d.mapInPandas(run, spec)
+
+    out = block(0)
+    for k in range(1, blocks):
+        out = out.unionByName(block(k))
+    return out.toDF(quote_id, id_, "ok", "score")
+
+
 def verified(quotes: DataFrame, quote: str = "quote", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, dropped, one row with n and rate) of quotes checked against their sources; both lists carry the score."""
     checked = quotes.withColumn("check", quote_check(F.col(quote), F.col(source))).select("*", F.col("check.score").alias("score"), F.col("check.ok").alias("ok")).drop("check")
