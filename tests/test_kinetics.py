@@ -36,18 +36,47 @@ def test_rows_are_fitted_as_if_alone():
     assert np.isnan(kinetics.fit_many(t[:1], n[:1], np.full((1, 8), np.nan))).all()
 
 
-def test_replicates_weigh_subjects(spark):
-    """Each replicate is the fit of the rows, each as often as its subject is drawn."""
-    d = synthetic.arm(spark, "A", "laiv_like", S, n=25, seed=7)
-    reps = {r.rep: r.p for r in kinetics.replicates(d, ["arm_id"], 5).collect()}
-    rows = d.where("value > 0").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("w", kinetics.poisson_weight("arm_id", "subject_id", "rep", F.lit(0))).toPandas()
-    for rep, part in rows.groupby("rep"):
-        part = part[part.w > 0]
-        days = np.sort(part.day.unique())
-        n = np.array([part[part.day == x].w.sum() for x in days], float)
-        m = np.array([(part[part.day == x].w * np.log10(part[part.day == x].value)).sum() for x in days]) / n
-        b, a, kx, ke = np.exp(kinetics.fit(days, n, m))
-        assert (reps[rep].base, reps[rep].amount, reps[rep].ka, reps[rep].ke) == pytest.approx((b, a, kx + ke, ke), rel=1e-3)
+def test_buckets_add_up_to_the_subjects():
+    sizes = np.array([3, 0, 5, 1, 7, 2, 9])
+    each = np.array([kinetics.draws(sizes, k, 500, seed=4) for k in range(len(sizes))])
+    assert (each.sum(axis=0) == sizes.sum()).all() and (each[1] == 0).all()
+    assert np.abs(each.mean(axis=1) - sizes).max() < 0.5
+    assert (kinetics.draws(np.array([6]), 0, 4, 1) == 6).all()
+
+
+def subjects(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, f"s{i}", float(d), float(10 ** r.normal(1 + 0.3 * i / 150, 0.1))) for g in ("a", "b", None) for i in range(150) for d in (0, 7)]
+    return spark.createDataFrame(rows, "g string, subject_id string, day double, value double")
+
+
+@pytest.mark.parametrize("bucket", [2048, 10])
+def test_replicates_draw_as_many_subjects_as_there_are(spark, monkeypatch, bucket):
+    """In any number of buckets; and the spread of a mean is that of a plain resampler."""
+    monkeypatch.setattr(kinetics, "BUCKET", bucket)
+    d = subjects(spark)
+    got = kinetics.resampled(d.repartition(5), ["g"], 300).groupBy("g", "rep", "day").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m")).toPandas()
+    assert len(got) == 3 * 300 * 2 and (got["n"] == 150).all()
+    again = kinetics.resampled(d, ["g"], 300).groupBy("g", "rep", "day").agg((F.sum("s") / F.sum("n")).alias("m")).toPandas()
+    key = ["g", "rep", "day"]
+    assert np.allclose(got.sort_values(key)["m"].to_numpy(), again.sort_values(key)["m"].to_numpy())
+    logs = np.log10([r.value for r in d.where("g = 'a' AND day = 7").orderBy("subject_id").collect()])
+    r = np.random.default_rng(0)
+    plain = np.array([r.choice(logs, 150).mean() for _ in range(3000)])
+    own = got[(got["g"] == "a") & (got["day"] == 7)]["m"]
+    ends = [0.025, 0.5, 0.975]
+    assert np.abs(np.quantile(own, ends) - np.quantile(plain, ends)).max() < 0.25 * plain.std() + 0.2 * plain.std()
+    assert abs(own.std() / plain.std() - 1) < 0.15
+
+
+def test_replicates_fit_their_sums(spark):
+    d = subjects(spark).where("g IS NOT NULL")
+    days = d.unionByName(d.withColumns({"day": F.col("day") + 20, "value": F.col("value") * 0.7}))
+    sums = kinetics.resampled(days, ["g"], 4).groupBy("g", "rep", "day").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m")).toPandas()
+    for r in kinetics.replicates(days, ["g"], 4).collect():
+        own = sums[(sums["g"] == r.g) & (sums["rep"] == r.rep)].sort_values("day")
+        b, a_, kx, ke = np.exp(kinetics.fit(own["day"].to_numpy(), own["n"].to_numpy(), own["m"].to_numpy()))
+        assert np.allclose([r.p.base, r.p.amount, r.p.ka, r.p.ke], [b, a_, kx + ke, ke], rtol=1e-6)
 
 
 def test_bands_hold_the_curve(spark):

@@ -1,13 +1,14 @@
 """Curve fits with subject-level bootstrap.
 
 Least squares on log10 values needs only the count and mean log of each day, so Spark reduces any number of rows to
-one short list of days for each series and replicate; only those lists go to the vectorised fitter. Replicates use
-Poisson weights drawn from a hash of series, subject and replicate: the same on every run and partitioning.
+one short list of days for each series and replicate; only those lists go to the vectorised fitter. Replicates draw
+subjects with replacement, seeded by series and replicate: the same on every run and partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.math import bateman, curve_summary
+from ..session import written
+from .quantiles import quantiles
 
 # Bounds of log baseline, log amount, log extra rise rate and log decline rate, and their start.
 LOW = np.array([-30.0, -30.0, np.log(1e-3), np.log(1e-4)])
@@ -102,31 +105,86 @@ def _days(weight: Column) -> list[Column]:
     return [F.sum(weight).alias("n"), (F.sum(weight * F.log10(F.greatest("value", F.lit(1e-9)))) / F.sum(weight)).alias("m")]
 
 
-def poisson_weight(*keys: Column | str) -> Column:
-    """A Poisson(1) count from the hash of the keys (probabilities are cut at 6)."""
-    u = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30)
-    out, total, p = F.lit(6), 0.0, float(np.exp(-1.0))
-    steps = []
-    for k in range(6):
-        total += p
-        steps.append((total, k))
-        p /= k + 1
-    for upto, k in reversed(steps):
-        out = F.when(u < upto, k).otherwise(out)
-    return out
+#: Slots that subjects are hashed into, subjects of a bucket of neighbouring slots, and weights held at a time.
+SLOTS, BUCKET, HELD = 4096, 2048, 1 << 22
 
 
-def replicates(df: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
-    """(by, rep, p): the curve of each bootstrap replicate of each series.
+def _seeded(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([k % (1 << 64) for k in key])))
+
 
-    Rows are first reduced to a short list of days for each subject; only these lists meet the replicates' weights.
+def draws(sizes: np.ndarray, at: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of the subjects drawn in each replicate (as many as there are) fall into bucket `at` of the given sizes.
+
+    The drawn number is split in two over and over, binomially by the numbers of subjects on both sides, down to the
+    bucket; a split is seeded by its range alone, so all buckets of a series see the same splits and add up exactly.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lo, hi, drawn = 0, len(sizes), np.full(n_boot, int(upto[-1]))
+    while hi - lo > 1 and drawn.any():
+        mid = (lo + hi) // 2
+        whole = upto[hi] - upto[lo]
+        left = _seeded(seed, lo, hi).binomial(drawn, (upto[mid] - upto[lo]) / whole if whole else 0.0)
+        lo, hi, drawn = (lo, mid, left) if at < mid else (mid, hi, drawn - left)
+    return drawn
+
+
+def _folded(by: list[str], n_boot: int):
+    """For the rows (subject_id, day, c, s) of a bucket the sums over drawn subjects for each replicate and day."""
+
+    def run(key: tuple, rows: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(info):
+            i = info.iloc[0]
+            sizes = np.zeros(-(-SLOTS // i["width"]), np.int64)
+            for x in i["slots"]:
+                sizes[x["slot"] // i["width"]] += x["n"]
+            drawn = draws(sizes, int(i["bucket"]), n_boot, int(i["seed"]))
+            names, person = np.unique(rows["subject_id"].to_numpy(str), return_inverse=True)
+            days, day = np.unique(rows["day"].to_numpy(float), return_inverse=True)
+            sums = np.zeros((2, len(names), len(days)))
+            np.add.at(sums[0], (person, day), rows["c"].to_numpy(float))
+            np.add.at(sums[1], (person, day), rows["s"].to_numpy(float))
+            rng, even, step = _seeded(int(i["seed"]), SLOTS + int(i["bucket"])), np.full(len(names), 1 / len(names)), max(1, HELD // len(names))
+            for at in range(0, n_boot, step):
+                weights = rng.multinomial(drawn[at : at + step], even)
+                n, s = weights @ sums[0], weights @ sums[1]
+                r, d = np.nonzero(n)
+                out.append(pd.DataFrame({"rep": (at + 1 + r).astype(np.int32), "day": days[d], "n": n[r, d], "s": s[r, d]}))
+        told = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"rep": np.zeros(0, np.int32), "day": np.zeros(0), "n": np.zeros(0), "s": np.zeros(0)})
+        for c, v in zip(by, key):
+            told[c] = v
+        return told[[*by, "rep", "day", "n", "s"]]
+
+    return run
+
+
+def resampled(df: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
+    """(by, rep, day, n, s): number and sum of logs of the values that each bootstrap replicate of each series has on a day.
+
+    A replicate draws as many subjects as the series has, with replacement: multiplicities are multinomial and sum to the
+    number of subjects exactly. Subjects are hashed into buckets of bounded size; each draws its share on its own, and
+    folds it into sums by replicate and day, so subjects are never gathered and no row is made for each of their draws.
     """
-    of_day = df.where("value > 0").groupBy(*by, "subject_id", "day").agg(F.count(F.lit(1)).alias("c"), F.sum(F.log10(F.greatest("value", F.lit(1e-9)))).alias("s"))
-    people = of_day.groupBy(*by, "subject_id").agg(F.collect_list(F.struct("day", "c", "s")).alias("seen"))
-    # few and small rows with much work for each: a stated number of partitions keeps them from being put into one task
+    of_day = df.where("value > 0").withColumn("subject_id", F.coalesce(F.col("subject_id").cast("string"), F.lit(""))).groupBy(*by, "subject_id", "day").agg(F.count(F.lit(1)).alias("c"), F.sum(F.log10(F.greatest("value", F.lit(1e-9)))).alias("s"))
+    of_day = written(of_day.withColumn("slot", F.pmod(F.xxhash64("subject_id"), F.lit(SLOTS))), "subject-days")
+    slots = of_day.select(*by, "slot", "subject_id").distinct().groupBy(*by, "slot").agg(F.count(F.lit(1)).alias("n"))
+    series = slots.groupBy(*by).agg(F.sum("n").alias("total"), F.collect_list(F.struct("slot", "n")).alias("slots"))
+    width = F.greatest(F.lit(1), F.least(F.lit(SLOTS), F.floor(F.lit(float(SLOTS) * BUCKET) / F.col("total")))).cast("int")
+    series = written(series.withColumns({"width": width, "seed": F.xxhash64(*by, F.lit(seed))}), "series")
+    info = series.withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(SLOTS) / F.col("width")) - 1).cast("int"))))
+    same = reduce(lambda x, y: x & y, [F.col(f"o.`{c}`").eqNullSafe(F.col(f"w.`{c}`")) for c in by], F.lit(True))
+    rows = of_day.alias("o").join(series.select(*by, "width").alias("w"), same).select(*[F.col(f"o.`{c}`").alias(c) for c in by], (F.floor(F.col("slot") / F.col("width"))).cast("int").alias("bucket"), "subject_id", "day", "c", "s")
+    kinds = dict(df.dtypes)
+    spec = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", rep int, day double, n double, s double"
+    return rows.groupBy(*by, "bucket").cogroup(info.groupBy(*by, "bucket")).applyInPandas(_folded(by, n_boot), spec)
+
+
+def replicates(df: DataFrame, by: list[str], n_boot: int = 200, seed: int = 0) -> DataFrame:
+    """(by, rep, p): the curve of each bootstrap replicate of each series. Few and small rows with much work for each: a
+    stated number of partitions keeps the fits from being put into one task."""
     tasks = min(200, df.sparkSession.sparkContext.defaultParallelism)
-    drawn = people.repartition(tasks, *by, "subject_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_weight(*by, "subject_id", "rep", F.lit(seed))).where("w > 0")
-    daily = drawn.select(*by, "rep", "w", F.inline("seen")).groupBy(*by, "rep", "day").agg(F.sum(F.col("w") * F.col("c")).cast("double").alias("n"), (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    daily = resampled(df, by, n_boot, seed).groupBy(*by, "rep", "day").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m"))
     lists = daily.groupBy(*by, "rep").agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"))
     return lists.where(F.size("days") >= 2).repartition(tasks, *by, "rep").withColumn("p", _fit("days")).where("p.ke IS NOT NULL").select(*by, "rep", "p")
 
@@ -139,7 +197,8 @@ def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int =
     """
     d = df.where("value > 0")
     counts = d.groupBy(*by).agg(F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("day").alias("n_timepoints"), F.max("day").alias("last_day"))
-    daily = d.groupBy(*by, "day").agg(*_days(F.lit(1.0)), F.median("value").alias("med"))
+    medians = quantiles(d, [*by, "day"], "value", [0.5]).select(*by, "day", F.get("q", F.lit(0)).alias("med"))
+    daily = d.groupBy(*by, "day").agg(*_days(F.lit(1.0))).join(medians, [*by, "day"])
     lists = daily.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("day", "n", "m"))).alias("days"), F.max_by("day", F.struct("med", (-F.col("day")).alias("d"))).alias("raw_peak_day"), F.max("med").alias("raw_peak"), F.min_by("med", "day").alias("raw_base"))
     ok = lists.join(counts, by)
     point = ok.withColumn("p", _fit(F.when(F.col("n_timepoints") >= min_timepoints, F.col("days"))))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine
 from ..functions.text import STOP_WORDS, expand, with_stem, words
 from ..schema import CITABLE
-from ..session import spread
+from ..session import spread, written
 
 K1, B, RRF = 1.5, 0.75, 60
 WEIGHTS = {"finding": 1.0, "abstract": 0.45}
@@ -51,8 +55,8 @@ def bm25(queries: DataFrame, postings: DataFrame, query_id: str, id_: str, n_doc
     matching documents are touched; n_docs overrides the one-row (n, avgdl), if documents without terms count.
     """
     length, _, whole = corpus_stats(postings, id_)
-    q = queries.withColumnRenamed("tf", "qtf")
-    sent = F.broadcast if q.limit(50_001).count() <= 50_000 else lambda df: df  # of rows by term no more than the queries have
+    q = written(queries.select(query_id, "term", F.col("tf").alias("qtf")), "queries")  # tokenised once; its size decides about broadcasts
+    sent = F.broadcast if q.count() <= 50_000 else lambda df: df  # of rows by term no more than the queries have
     kept = postings.join(sent(q.select("term").distinct()), "term", "left_semi")
     freq = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hit = kept.join(sent(q), "term").join(sent(freq), "term").join(length, id_).crossJoin(F.broadcast(n_docs if n_docs is not None else whole))
@@ -72,11 +76,69 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
 
 
 def dense(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, vector: str = "embedding") -> DataFrame:
-    """Cosine of every stated query with every document; documents stay where they are while queries are few."""
+    """Cosine of every stated query with every document; documents stay where they are while queries are few. For rankings in
+    full; the k best alone are dense_top's."""
     q = queries.select(query_id, F.col(vector).alias("__q"))
     return docs.select(id_, F.col(vector).alias("__d")).join(small(q)).select(query_id, id_, cosine(F.col("__q"), F.col("__d")).alias("score"))
 
 
+#: Queries that dense_top compares with a vector at a time, and vectors of a product.
+QUERIES_A_PASS, VECTORS = 4096, 2048
+
+
+def dense_top(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, k: int, vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """(query_id, id, score, rank): the k documents with the largest cosine to each stated query, rounded, ties to the smaller
+    id. Vectors that are null, of length 0 or of another length than the query have no cosine.
+
+    Queries go to the tasks in blocks; a task multiplies a block of vectors with them and keeps k a query, so that what
+    meets for the ranking is k a task and query, never a product of both tables.
+    """
+    q = written(queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"), "queries")
+    d = spread(docs.select(F.col(id_).alias("d"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"))
+    types = dict(q.dtypes)["q"], dict(d.dtypes)["d"]
+    blocks = max(1, -(-q.count() // QUERIES_A_PASS))
+
+    def best(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of each column's k best, ties at the end by id."""
+        return np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
+
+    def block(n: int) -> DataFrame:
+        rows = [r for r in q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).collect() if r.v and None not in r.v]
+        sizes = sorted({len(r.v) for r in rows})
+        sides = [([r.q for r in rows if len(r.v) == s], np.array([r.v for r in rows if len(r.v) == s])) for s in sizes]
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = {s: (np.zeros(0, object), np.zeros((0, len(names)))) for s, (names, _) in zip(sizes, sides)}
+            for part in it:
+                for at in range(0, len(part), VECTORS):
+                    some = part.iloc[at : at + VECTORS]
+                    for s, (names, m) in zip(sizes, sides):
+                        own = [(i, v) for i, v in zip(some["d"], some["v"]) if len(v) == s]
+                        if not own:
+                            continue
+                        x = np.array([v for _, v in own], dtype=float)
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            new = np.round(x @ m.T / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((m * m).sum(axis=1)), digits)
+                        ids = np.concatenate([held[s][0], np.array([i for i, _ in own], dtype=object)])
+                        score = np.concatenate([held[s][1], np.where(np.isfinite(new), new, -np.inf)])
+                        keep = np.unique(best(score, ids))
+                        held[s] = ids[keep], score[keep]
+            for s, (names, _) in zip(sizes, sides):
+                ids, score = held[s]
+                if len(ids):
+                    at = best(score, ids)
+                    for j in range(0, len(names), 512):
+                        rows_ = [(names[c], ids[i], float(score[i, c])) for c in range(j, min(j + 512, len(names))) for i in at[:, c] if score[i, c] > -np.inf]
+                        yield pd.DataFrame(rows_, columns=["q", "d", "score"])
+
+        return d.mapInPandas(run, f"q {types[0]}, d {types[1]}, score double")
+
+    out = block(0)
+    for n in range(1, blocks):
+        out = out.unionByName(block(n))
+    return ranked(out.toDF(query_id, id_, "score"), query_id, id_, k)
+
+
 def containing(passages: DataFrame, docs: DataFrame, passage_id: str, id_: str, passage: str = "text", text: str = "text") -> DataFrame:
     """(passage_id, id) wherever a document's text holds a passage, without regard to case; nulls hold and give nothing.
 
@@ -89,7 +151,7 @@ def containing(passages: DataFrame, docs: DataFrame, passage_id: str, id_: str,
     p = p.withColumn("__w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     d = spread(docs.select(id_, F.col(text))).select(id_, F.lower(F.col(text)).alias("__t"))
     keyed = p.where("__w IS NOT NULL")
-    wanted = small(keyed.select("__w").distinct())  # few words: documents are looked up where they are
+    wanted = keyed.select("__w").distinct()  # few words are sent to the documents
     words_ = d.select(id_, F.explode(words(F.col("__t"))).alias("__w")).join(wanted, "__w", "left_semi").distinct()
     found = words_.join(keyed, "__w").join(d, id_).where(F.contains("__t", "__p"))
     brief = p.where("__w IS NULL AND __p IS NOT NULL")
@@ -121,18 +183,24 @@ def top(fused: DataFrame, query_id: str, id_: str, k: int = 5, citable_only: boo
     return ranked(hits.where("citable") if citable_only else hits, query_id, id_, k, "fused")
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, k: int = 5, citable_only: bool = True, tags: list[str] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, query_id: str, id_: str, k: int = 5, citable_only: bool = True, tags: list[str] | None = None, vectors: DataFrame | None = None, depth: int | None = None, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank, fused) of the k best chunks: BM25 over stemmed words and synonyms, fused with a ranking by
     cosine if queries have an `embedding` and vectors (id, embedding) are given.
 
-    docs: (id, text, kind, tags, citable). Without vectors the ranking is lexical alone.
+    docs: (id, text, kind, tags, citable). Without vectors the ranking is lexical alone. depth: how far down each ranking
+    counts; without it rankings are whole, so that a document that both rank low can still be among the best. postings: terms() of the docs, if they are at hand.
     """
-    lexical = ranked(bm25(terms(queries, query_id, "text"), terms(docs, id_, "text"), query_id, id_), query_id, id_)
+    lexical = ranked(bm25(terms(queries, query_id, "text"), terms(docs, id_, "text") if postings is None else postings, query_id, id_).withColumn("score", F.round("score", 8)), query_id, id_, depth)
     rankings = [lexical]
     if vectors is not None:
-        close = dense(queries.where("embedding IS NOT NULL"), vectors, query_id, id_).where("score IS NOT NULL")
-        rankings.append(ranked(close, query_id, id_))
-    return top(fuse(rankings, docs, query_id, id_, tags), query_id, id_, k, citable_only).select(query_id, id_, "rank", "fused")
+        asked = queries.where("embedding IS NOT NULL")
+        if depth is None:
+            close = dense(asked, vectors, query_id, id_).where("score IS NOT NULL").withColumn("score", F.round("score", 9))
+            rankings.append(ranked(close, query_id, id_))
+        else:
+            rankings.append(dense_top(asked, vectors, query_id, id_, depth))
+    fused = fuse(rankings, docs, query_id, id_, tags).withColumn("fused", F.round("fused", 9))
+    return top(fused, query_id, id_, k, citable_only).select(query_id, id_, "rank", "fused")
 
 
 def study_listing(studies: DataFrame) -> DataFrame:

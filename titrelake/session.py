@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def session(app: str = "titrelake", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; a cluster's own settings win where it sets them."""
@@ -31,6 +36,7 @@ def spread(df: DataFrame, bytes_a_core: int = 16 << 20) -> DataFrame:
 
 _LOCAL: list[str] = []
 _WRITTEN: list[str] = []
+_KEPT: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,9 +64,29 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stamp(df: DataFrame) -> str:
+    """Names, sizes and times of the files that df reads: another stamp means other data."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha1("\n".join(out).encode()).hexdigest()
+
+
+def kept(df: DataFrame, kind: str, build: Callable[[DataFrame], T]) -> T:
+    """build(df), which writes tables, once for each state of the files that df reads; kept until clear()."""
+    key = (df.sparkSession.sparkContext.applicationId, kind, stamp(df))
+    if key not in _KEPT:
+        _KEPT[key] = build(df)
+    return _KEPT[key]
+
+
 def clear(spark: SparkSession) -> int:
     """Remove what this process has written to the shared folder; how much. Results are lazy and need it until they are read."""
     n = len(_WRITTEN)
+    _KEPT.clear()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
