@@ -11,8 +11,10 @@ def test_written_tables_are_removed_on_request(spark):
     d = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
     substring.repeat_report(d).collect()
     shared.cut_table(d)
-    path = shared._WRITTEN[-1].removeprefix("file:")
-    assert os.path.isdir(path) and shared.clear(spark) >= 2 and not os.path.exists(path)
+    shared.cut(d)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    os.makedirs(f"{folder}/corpus-stages")
+    assert len(os.listdir(folder)) >= 4 and shared.clear(spark) >= 4 and not os.listdir(folder)
     assert shared.clear(spark) == 0
 
 

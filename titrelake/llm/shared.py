@@ -49,14 +49,19 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 
 
 def clear(spark: SparkSession) -> int:
-    """Remove the tables that this process has written to the checkpoint folder; their number. For when results are no
-    longer read: they are lazy and need the tables until then."""
-    n = len(_WRITTEN)
+    """Remove all that this application has in its checkpoint folder (tables, checkpoints, the pipeline's stages); how many
+    folders. For when results are no longer read: they are lazy and need these until then."""
+    _WRITTEN.clear()
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return 0
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
+    path = jvm.org.apache.hadoop.fs.Path(folder)  # Spark makes one with a name of its own for each application
+    fs = path.getFileSystem(conf)
+    inside = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    for x in inside:
+        fs.delete(x, True)
+    return len(inside)
 
 
 def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
