@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.math import bateman, curve_summary
-from ..session import written
+from ..session import spread, written
 from .quantiles import quantiles
 
 # Bounds of log baseline, log amount, log extra rise rate and log decline rate, and their start.
@@ -193,9 +193,10 @@ def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int =
     """One row for each series: parameters, summary, 95% intervals, counts, identifiable and notes.
 
     Values that are null or not positive take no part. Series with too few timepoints are refused: they get the
-    medians by day instead of a curve. Fewer than `enough` good replicates give no interval.
+    medians by day instead of a curve. Fewer than `enough` good replicates give no interval. The columns needed are written
+    out once, as counts, medians and replicates each read them.
     """
-    d = df.where("value > 0")
+    d = written(spread(df.where("value > 0").select(*by, "subject_id", "day", "value")), "values")
     counts = d.groupBy(*by).agg(F.countDistinct("subject_id").alias("n_subjects"), F.countDistinct("day").alias("n_timepoints"), F.max("day").alias("last_day"))
     medians = quantiles(d, [*by, "day"], "value", [0.5]).select(*by, "day", F.get("q", F.lit(0)).alias("med"))
     daily = d.groupBy(*by, "day").agg(*_days(F.lit(1.0))).join(medians, [*by, "day"])
@@ -205,8 +206,8 @@ def fits(df: DataFrame, by: list[str], n_boot: int = 200, min_timepoints: int =
     boot = replicates(d.join(counts.where(F.col("n_timepoints") >= min_timepoints).select(*by), by, "left_semi"), by, n_boot, seed)
     s = curve_summary(F.col("p.base"), F.col("p.amount"), F.col("p.ka"), F.col("p.ke"))
     ends = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
-    spread = boot.withColumn("s", s).groupBy(*by).agg(F.count(F.lit(1)).alias("n_boot"), *[F.percentile(f"s.{c}", ends).alias(f"q_{c}") for c in ("peak_day", "half_life_days", "peak_value", "fold_rise")])
-    out = point.withColumn("s", F.when(F.col("p.ke").isNotNull(), s)).join(spread, by, "left")
+    ends_of = boot.withColumn("s", s).groupBy(*by).agg(F.count(F.lit(1)).alias("n_boot"), *[F.percentile(f"s.{c}", ends).alias(f"q_{c}") for c in ("peak_day", "half_life_days", "peak_value", "fold_rise")])
+    out = point.withColumn("s", F.when(F.col("p.ke").isNotNull(), s)).join(ends_of, by, "left")
     sure = F.coalesce(F.col("n_boot"), F.lit(0)) >= enough
     lo, hi = (lambda c: F.get(f"q_{c}", F.lit(0))), (lambda c: F.get(f"q_{c}", F.lit(2)))
     few, fitted = F.col("n_timepoints") < min_timepoints, F.col("p.ke").isNotNull()
