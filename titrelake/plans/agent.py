@@ -14,6 +14,7 @@ from . import scenario as sc
 from .strategy import Plan, propose
 
 
+# The names of the checks below.
 def critique(plan: Plan, studies: DataFrame, most_assumed: float = 0.4) -> tuple[dict[str, bool], list[str]]:
     """(checks by name, issues). The late-visit check applies only if durability is asked for."""
     s, checks, issues = plan.scenario, {}, []

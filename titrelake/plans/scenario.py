@@ -22,6 +22,8 @@ QUESTIONS = (
     ("durability", ("durab", "waning", "persist", "6 month", "long term", "longevity")), ("mucosal_vs_systemic", ("mucosal vs", "versus systemic", "compare compartment", "mucosal and systemic")),
     ("correlate_of_protection", ("correlate", "protection", "challenge")), ("peak", ("peak", "kinetic", "when")),
 )
+# Words of a comparison, of young people and of people, and the patterns that read numbers of people, visits and
+# days of follow-up.
 COMPARING = ("compare", "versus", " vs ", "comparator", "comparaison")
 YOUNG = ("child", "children", "paediatric", "pediatric", "infant", "enfant")
 PEOPLE = r"participants?|subjects?|volunteers?|adults?|people|persons?|patients?|children|infants|toddlers|sujets?|enfants?|nourrissons?|adultes?"
