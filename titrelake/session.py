@@ -69,7 +69,7 @@ def stamp(df: DataFrame) -> str:
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))  # names come encoded
         status = path.getFileSystem(conf).getFileStatus(path)
         out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
     return hashlib.sha1("\n".join(out).encode()).hexdigest()
