@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from ..functions.math import cosine
 from ..functions.text import STOP_WORDS, expand, with_stem, words
 from ..schema import CITABLE
 from ..session import spread, written
+from ..sources.kept import Kept
 
 K1, B, RRF = 1.5, 0.75, 60
 WEIGHTS = {"finding": 1.0, "abstract": 0.45}
@@ -223,3 +225,32 @@ def embedding_keys(df: DataFrame, text: str, model: str) -> DataFrame:
 def to_embed(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows whose key is not in the cache yet, one for each key."""
     return df.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+
+
+def embed_missing(df: DataFrame, cache: Kept, model: str, embed: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 16, flush: int = 100_000) -> int:
+    """Embed the texts that the cache (sources.kept.embeddings) does not hold yet, `batch` at a call; how many.
+
+    Some `flush` texts at a time become a part of the cache: what a run that dies has paid for up to there stays paid,
+    and the next run goes on. An answer with fewer vectors than texts is an error. Null texts have no vector.
+    """
+    keyed = embedding_keys(df.select(F.col(text).alias("text")).where("text IS NOT NULL"), "text", model)
+    held = cache.read()
+    todo = written(keyed.dropDuplicates(["key"]) if held is None else to_embed(keyed, held), "to-embed")
+    n = todo.count()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            vectors: list[list[float]] = []
+            for i in range(0, len(f), batch):
+                asked = f["text"].iloc[i : i + batch].tolist()
+                got = embed(asked)
+                if len(got) != len(asked):
+                    raise ValueError(f"{len(got)} vectors for {len(asked)} texts")
+                vectors += [[float(x) for x in v] for v in got]
+            yield pd.DataFrame({"key": f["key"], "embedding": vectors, "at": 0})
+
+    rounds = -(-n // flush)
+    for k in range(rounds):
+        some = todo.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
+        cache.upsert(spread(some).mapInPandas(ask, "key string, embedding array<double>, at long"), uuid.uuid4().hex, "at")
+    return n
