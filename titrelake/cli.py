@@ -97,12 +97,20 @@ def build_evidence(a) -> None:
     from .operators.evidence import extract
     from .sources import readers, sinks
 
-    docs = readers.literature_folder(session("build-evidence", a.master), a.folder, a.limit or None).withColumn("url", F.lit(None).cast("string"))
+    spark = session("build-evidence", a.master)
+    docs = readers.downloaded(spark, a.folder) if a.downloaded else readers.literature_folder(spark, a.folder, a.limit or None)
+    docs = docs.withColumn("url", F.lit(None).cast("string"))
     found = extract(docs)
     sinks.to_json(found, f"{a.out}/extracted")
     _show({"studies": found.count(), "findings": found.select(F.sum(F.size("findings"))).first()[0]})
 
 
+def download(a) -> None:
+    from .sources import paged
+
+    _show(paged.download(session("download", a.master), a.folder, a.literature, a.trials, a.query, a.pmid, a.trial_query, a.nct, max_pages=a.pages))
+
+
 def audit(a) -> None:
     from .operators import comparability
     from .sources.readers import measurements
@@ -169,7 +177,9 @@ def parser() -> argparse.ArgumentParser:
     plain = {"scenario": {"default": SCENARIO}, "n": {"type": int, "default": 30}, "seed": {"type": int, "default": 42}, "start": {"default": "2025-01-06"}}
     add("demo", demo, "everything once on synthetic data", **plain, gold={"default": None}, fast={"action": "store_true"})
     add("schema", schema, "write the record schemas")
-    add("build-evidence", build_evidence, "extract and verify findings of a folder of records", folder={"positional": True}, limit={"type": int, "default": 0})
+    add("build-evidence", build_evidence, "extract and verify findings of a folder of records", folder={"positional": True}, limit={"type": int, "default": 0}, downloaded={"action": "store_true"})
+    many = {"action": "append", "default": []}
+    add("download", download, "records, full texts and trials of public services, as tables in a folder", folder={"positional": True}, query=dict(many), pmid=dict(many), trial_query=dict(many), nct=dict(many), pages={"type": int, "default": 1}, literature={"default": "https://www.ebi.ac.uk/europepmc/webservices/rest"}, trials={"default": "https://clinicaltrials.gov/api/v2/studies"})
     add("search", search, "query the evidence base", query={"positional": True}, k={"type": int, "default": 5}, all={"action": "store_true"})
     add("graph", graph, "size and gaps of the evidence graph")
     add("propose", propose, "a candidate plan for a scenario", scenario={"positional": True})

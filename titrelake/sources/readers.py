@@ -158,14 +158,22 @@ def gold_set(spark: SparkSession, path: str) -> DataFrame:
     return cases.select(F.posexplode("cases").alias("case_id", "c")).select("case_id", "c.query", F.explode("c.relevant").alias("chunk_id"))
 
 
+LITERATURE = ", ".join(f"{c} string" for c in ("pmid", "id", "pmcid", "doi", "title", "authorString", "pubYear", "abstractText"))
+
+
+def downloaded(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the tables that paged.download has written, with their full texts."""
+    records = spark.read.parquet(f"{path}/records").select(F.from_json("record", LITERATURE).alias("r")).select("r.*")
+    return raw_documents(records, spark.read.parquet(f"{path}/full_texts"))
+
+
 def literature_folder(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Documents of a folder: every *.json literature record with the section texts of <pmcid>.xml, where there is one.
 
     They stand in the order of their file names; first: that many of them only.
     """
-    kind = ", ".join(f"{c} string" for c in ("pmid", "id", "pmcid", "doi", "title", "authorString", "pubYear", "abstractText"))
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    records = spark.read.schema(kind).json(f"{path}/*.json", multiLine=True).withColumn("file", name)
+    records = spark.read.schema(LITERATURE).json(f"{path}/*.json", multiLine=True).withColumn("file", name)
     xml = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml").select(F.regexp_replace(name, r"\.xml$", "").alias("pmcid"), F.col("value").alias("xml"))
     files = records.select(F.coalesce("pmid", "id").alias("doc_id"), "file")
     docs = raw_documents(records, xml).join(files, "doc_id").orderBy("file")
