@@ -64,6 +64,29 @@ def test_literature_and_articles(spark):
     assert got["P2"].citation == "Anon et al. (n.d.). " and got["P2"].sections == []
 
 
+def test_articles_of_a_large_file(spark, tmp_path):
+    bodies = [f"<article id='{i}'><front><article-id pub-id-type='pmc'>{'PMC' if i % 2 else ''}{i}</article-id></front><body><sec><title>T &amp; {i}</title><p>a &lt;{i} <b>x</b></p><sec><p>y</p></sec></sec></body></article>" for i in range(300)]
+    bodies[7] = "<article><body><sec></body></article>"
+    bodies[8] = "<article><body><p>none</p></body></article>"
+    (tmp_path / "all.xml").write_text("<?xml version='1.0'?>\n<articles>\n" + "\n".join(bodies) + "\n</articles>\n")
+    (tmp_path / "one.xml").write_text("<!DOCTYPE article>" + bodies[3])
+    (tmp_path / "empty.xml").write_text("")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # cut within articles
+    try:
+        d = readers.articles(spark, f"{tmp_path}/*.xml")
+        assert d.rdd.getNumPartitions() > 5
+        got = d.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(got) == 301
+    by = {r.pmcid: r for r in got if r.pmcid}
+    assert len(by) == 298 and [tuple(s) for s in by["PMC42"].sections] == [("T & 42", "a <42 x y")] and by["PMC42"].xml is None
+    odd = [r for r in got if not r.pmcid]
+    assert sorted((r.sections, r.fault is None, r.xml) for r in odd if r.fault is None) == [([], True, None)]
+    assert [(r.sections, r.xml) for r in odd if r.fault] == [([], bodies[7])]
+
+
 def test_figures(spark):
     axis = {"label": "d", "min": 0, "max": 4, "unit": "weeks", "log_scale": False}
     fig = {"x_axis": axis, "y_axis": axis | {"unit": "titer"}, "series": [{"name": "s", "compartment_guess": None, "points": [{"x": 0, "y": 1}, {"x": 1, "y": 2}, {"x": 2, "y": 3}]}], "readable": True, "caveats": []}

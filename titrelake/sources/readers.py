@@ -58,25 +58,59 @@ def literature(records: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType())])))
+SECTIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType())]))
+ARTICLE = T.StructType([T.StructField("pmcid", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("fault", T.StringType())])
+
+
+def _flat(node: ElementTree.Element) -> str:
+    return " ".join("".join(node.itertext()).split())
+
+
+def _sections(root: ElementTree.Element) -> list[dict]:
+    """Top-level sections of the body in order, each with all paragraphs below it."""
+    titles = [(sec, sec.find("title")) for sec in root.findall(".//body/sec")]
+    return [{"name": "" if t is None else _flat(t), "text": " ".join(_flat(p) for p in sec.iter("p"))} for sec, t in titles]
+
+
+def _parsed(xml: str | None) -> tuple[ElementTree.Element | None, str | None]:
+    try:
+        return ElementTree.fromstring(xml or ""), None
+    except ElementTree.ParseError as e:
+        return None, str(e)
+
+
+@F.pandas_udf(SECTIONS)
 def article_sections(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Sections of an article's XML in order: top-level sections of the body with all paragraphs below them.
     Malformed XML gives an empty list."""
+    for s in it:
+        yield s.map(lambda xml: [] if (root := _parsed(xml)[0]) is None else _sections(root))
 
-    def one(xml: str | None) -> list[dict]:
-        try:
-            root = ElementTree.fromstring(xml or "")
-        except ElementTree.ParseError:
-            return []
-        out = []
-        for sec in root.findall(".//body/sec"):
-            title = sec.find("title")
-            body = " ".join(" ".join("".join(p.itertext()).split()) for p in sec.iter("p"))
-            out.append({"name": " ".join("".join(title.itertext()).split()) if title is not None else "", "text": body})
-        return out
+
+@F.pandas_udf(ARTICLE)
+def _article(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def one(xml: str) -> tuple:
+        root, fault = _parsed(xml)
+        if root is None:
+            return None, [], fault
+        ids = [_flat(i) for i in root.iter("article-id") if i.get("pub-id-type") in ("pmc", "pmcid")]
+        return (ids[0] if ids[0].startswith("PMC") else "PMC" + ids[0]) if ids else None, _sections(root), None
 
     for s in it:
-        yield s.map(one)
+        yield pd.DataFrame([one(x) for x in s], columns=["pmcid", "sections", "fault"])
+
+
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """(pmcid, sections, fault, xml): the articles in files of any size and with any number of articles.
+
+    Spark cuts files at the articles' ends, so tasks share a large file and hold one article at a time. What comes before an
+    article (declarations, the tags of a collection) is left out; a malformed article keeps its xml and says its fault, and
+    has no sections. `xml` is null where there is no fault.
+    """
+    cut = spark.read.text(path, lineSep="</article>").withColumn("at", F.expr("regexp_instr(value, '<article[\\\\s>]')")).where("at > 0")
+    whole = cut.select(F.concat(F.expr("substring(value, at)"), F.lit("</article>")).alias("xml"))
+    read = whole.withColumn("a", _article("xml"))
+    return read.select("a.pmcid", "a.sections", "a.fault", F.when(F.col("a.fault").isNotNull(), F.col("xml")).alias("xml"))
 
 
 def raw_documents(records: DataFrame, full_texts: DataFrame) -> DataFrame:
