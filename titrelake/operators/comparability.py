@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CONTEXT, DEFAULTS, LEVELS, MUCOSAL, SERIES_KEY, UNIT_FACTORS
+from ..schema import CONTEXT, DEFAULTS, LEVELS, MUCOSAL, SERIES_KEY, UNIT_FACTORS, VOCABULARY
 from ..session import written
 
 Side = Callable[[str], Column]
@@ -114,6 +114,16 @@ def contexts(df: DataFrame, include_antigen: bool = False) -> DataFrame:
     return keyed.groupBy("series_key").agg(F.min("row_ord").alias("series_ord"), F.min_by("context", "row_ord").alias("context")).select("series_key", "series_ord", "context.*")
 
 
+def unknown_values(df: DataFrame) -> DataFrame:
+    """(field, value, n): values of context columns that no vocabulary has, and how many rows have them. Columns that are
+    missing, nulls and, where there is a default, empty texts are not unknown."""
+    fields = [c for c in CONTEXT if c in VOCABULARY and c in df.columns]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, value string, n long")
+    strange = [F.when(~F.col(c).isin([*VOCABULARY[c], *([""] if c in DEFAULTS else [])]), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c in fields]
+    return df.select(F.inline(F.filter(F.array(*strange), lambda x: x.isNotNull()))).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def compare(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Add flags (array of structs, in rule order), level (the worst) and verdict to rows with context structs a, b."""
     side = lambda s: lambda c: F.col(f"{s}.{c}")

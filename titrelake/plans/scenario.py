@@ -113,6 +113,27 @@ def read_with(model: Model, spark, text: str) -> tuple[Scenario, str]:
     return (changed(base, **taken), "model") if taken else (base, "rules")
 
 
+#: Fields in which two readings are compared.
+COMPARED = ("pathogen", "platform", "route", "comparator_route", "n_participants", "max_visits", "follow_up_days", "pediatric", "questions")
+
+
+def compare_readers(model: Model, spark, text: str) -> dict:
+    """Both readings of a text and the fields in which they differ. Without a model, or if it fails, `model` is null,
+    `ran` is false and `error` says why."""
+    part = lambda s: {k: sorted(v) if isinstance(v, tuple) else v for k, v in flat(s).items() if k in COMPARED}
+    out = {"rules": part(read(spark, text)), "model": None, "ran": False, "differences": [], "error": None}
+    if not model.available:
+        return out | {"error": "no model"}
+    try:
+        s, how = read_with(model, spark, text)
+    except OSError as e:
+        return out | {"error": str(e)}
+    if how == "rules":
+        return out | {"error": "no usable answer"}
+    got = part(s)
+    return out | {"model": got, "ran": True, "differences": [f for f in COMPARED if got[f] != out["rules"][f]]}
+
+
 def changed(a: Scenario, **fields) -> Scenario:
     return replace(a, **fields)
 

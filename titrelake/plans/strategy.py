@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.design import CANDIDATES, optimal_days
 from ..operators.evidence import resolve, timepoints
-from ..schema import METHOD_COMPARTMENT, MUCOSAL_ROUTES
+from ..schema import ENDPOINT, METHOD_COMPARTMENT, MUCOSAL_ROUTES, TRIAL
 from .scenario import Scenario
 
 
@@ -117,3 +117,30 @@ def options_frame(plan: Plan, spark) -> DataFrame:
 def visit_schedule(spark, plan: Plan) -> DataFrame:
     """(day, kind): the visits of a plan, mandatory or chosen for what they tell."""
     return spark.createDataFrame([(d, "mandatory" if d in plan.mandatory else "chosen") for d in plan.days], "day int, kind string")
+
+
+def trial_faults(trials: DataFrame) -> DataFrame:
+    """trials (schema TRIAL) with `faults`: endpoints that no sampling event serves or whose compartment is not their
+    method's, and sampling after the end of follow-up. What is null finds no fault but an endpoint's missing method."""
+    where = F.create_map(*[F.lit(x) for kv in METHOD_COMPARTMENT.items() for x in kv])
+    sampling, ends = F.coalesce("sampling", F.array()), F.coalesce("endpoints", F.array())
+    sampled = F.transform(sampling, lambda v: v["method"])
+    unserved = F.filter(ends, lambda e: ~F.coalesce(F.array_contains(sampled, e["method"]), F.lit(False)))
+    astray = F.filter(ends, lambda e: F.try_element_at(where, e["method"]) != e["compartment"])
+    named = lambda es, what: F.when(F.size(es) > 0, F.concat(F.lit(what + ": "), F.array_join(F.transform(es, lambda e: e["endpoint_id"]), ", ")))
+    late = F.filter(sampling, lambda v: v["day"] > F.col("follow_up_days"))
+    days = F.array_join(F.array_sort(F.array_distinct(F.transform(late, lambda v: v["day"]))), ", ")
+    found = F.array(named(unserved, "endpoints never sampled"), named(astray, "endpoints in the wrong compartment"), F.when(F.size(late) > 0, F.concat(F.lit("sampling after follow-up on days "), days)))
+    return trials.withColumn("faults", F.filter(found, lambda x: x.isNotNull()))
+
+
+def trial_design(plan: Plan, spark) -> DataFrame:
+    """A plan's candidate design, one row of schema TRIAL for experts to look at; ValueError if it does not hold together."""
+    s = plan.scenario
+    sampling = [(d, m, 0 if d < 7 else 1 if d < 30 else 3) for d in plan.days for m in plan.methods]
+    ends = [tuple(e.get(f, e["endpoint_id"]) for f in ENDPOINT.fieldNames()) for e in plan.endpoints]
+    row = (f"candidate-{s.name}", list(s.dose_days), s.age_min, s.age_max, s.n_participants, s.max_visits, s.follow_up_days, sampling, ends)
+    design = spark.createDataFrame([row], TRIAL)
+    if faults := trial_faults(design).first().faults:
+        raise ValueError("; ".join(faults))
+    return design

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import comparability, graph, kinetics, search
 from .plans import agent, roadmap
-from .schema import CONTEXT, DEFAULTS
+from .schema import CONTEXT, DEFAULTS, VOCABULARY
 from .sources import readers, synthetic
 
 CONTEXT_KIND = "struct<" + ", ".join(f"{c}: {'double' if c == 'lloq' else 'string'}" for c in CONTEXT) + ">"
@@ -29,6 +29,15 @@ class Tools:
             raise ValueError(f"no tool {name}; there are {', '.join(self.NAMES)}")
         return getattr(self, name)(**arguments)
 
+    #: What can be read whole, by address.
+    RESOURCES = ("evidence://studies",)
+
+    def resource(self, address: str) -> list[dict]:
+        """The full evidence base, in its order."""
+        if address not in self.RESOURCES:
+            raise ValueError(f"no resource {address}; there is {', '.join(self.RESOURCES)}")
+        return [r.asDict(recursive=True) for r in self.studies.orderBy("study_ord").drop("study_ord").collect()]
+
     def search_evidence(self, query: str, k: int = 5, citable_only: bool = True) -> dict:
         """The k best chunks for a query."""
         chunks = search.chunks(self.studies)
@@ -47,6 +56,9 @@ class Tools:
 
     def check_comparability(self, context_a: dict, context_b: dict) -> dict:
         """Verdict, explanation and flags for two contexts; what they leave out takes its default."""
+        wrong = [f"{k}={v}" for c in (context_a, context_b) for k, v in c.items() if v is not None and k in VOCABULARY and v not in VOCABULARY[k]]
+        if wrong:
+            raise ValueError(f"not in the vocabulary: {', '.join(wrong)}")
         side = lambda c: tuple({**DEFAULTS, **c}.get(k) for k in CONTEXT)
         pair = self.spark.createDataFrame([(side(context_a), side(context_b))], f"a {CONTEXT_KIND}, b {CONTEXT_KIND}")
         r = comparability.compare(pair).withColumn("explanation", comparability.explain_flags(F.col("flags"))).first()
