@@ -20,7 +20,7 @@ def expand(cohorts: DataFrame, methods: DataFrame, assays: DataFrame) -> tuple[D
     tests = cohorts.select(F.col("name").alias("cohort"), F.explode("assays").alias("cell"))
 
     def mapped(df: DataFrame, table: DataFrame) -> DataFrame:
-        known = df.join(F.broadcast(table.withColumn("known", F.lit(True))), "cell", "left")
+        known = df.join(table.withColumn("known", F.lit(True)), "cell", "left")
         return known.withColumn("cell", F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("cell without mapping: "), "cell")).cast("string")).otherwise(F.col("cell")))
 
     m, a = mapped(cells, methods), mapped(tests, assays)
