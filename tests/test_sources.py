@@ -96,6 +96,16 @@ def test_figures(spark):
     assert [(r.day, r.value, r.compartment) for r in readers.figure_rows(d).collect()] == [(0.0, 1.0, "serum"), (7.0, 2.0, "serum"), (14.0, 3.0, "serum")]
 
 
+def test_figure_report(spark):
+    axis = {"label": "d", "min": 0, "max": 4, "unit": "weeks", "log_scale": False}
+    points = [{"x": 0, "y": 1}, {"x": 1, "y": 2}, {"x": 2, "y": 3}]
+    fig = {"x_axis": axis, "y_axis": axis | {"unit": "titer", "log_scale": True}, "series": [{"name": "s|t", "compartment_guess": None, "points": points}], "readable": True, "caveats": ["faint"]}
+    d = spark.createDataFrame([("f1", json.dumps(fig)), ("f2", json.dumps(fig | {"readable": False}))], "id string, j string").select("id", readers.figure(F.col("j")).alias("figure"))
+    said = sinks.figure_report(readers.figure_faults(d), "id")
+    assert "| f1 | s\\|t | serum | 3 | 0.0 to 4.0 weeks | 0.0 to 4.0 titer, log |" in said and "| f1 | faint |" in said and "| f2 | not readable |" in said
+    assert sinks.figure_report(readers.figure_faults(d.limit(0)), "id").count("##") == 3
+
+
 def test_sinks_round_trip(spark, tmp_path):
     d = spark.createDataFrame([(1, ["a", "b"], None)], "i int, l array<string>, s string")
     sinks.to_csv(d, f"{tmp_path}/c", single=True)
