@@ -77,3 +77,16 @@ def test_idle_subjects_are_forgotten(spark):
         assert rows(3) == {1: 1.0, 2: 3.0, 4: 1.0}
     finally:
         q.stop()
+
+
+def test_a_call_for_each_subject_and_three_batches(spark, sf):
+    """Neither a subject's series nor the number of files add calls: updates of a subject come from three batches at most."""
+    from titrelake import session
+    from titrelake.queries import QUERIES
+
+    QUERIES["stream_fold_rise"](spark, sf)
+    path = [p for p in session._WRITTEN if "/stream-" in p][-1]
+    commits = spark.sparkContext._jvm.java.io.File(f"{path}/commits").list()
+    assert len([c for c in commits if not c.startswith(".")]) == 3
+    held = spark.read.format("statestore").option("stateVarName", "known").load(path)
+    assert held.select("key.*").columns == ["subject_id"] and held.count() > 0

@@ -18,35 +18,52 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class OwnBaseline(StatefulProcessor):
-    """The rows of one subject and series. Rows wait until there is a day-0 value; a day-0 row that comes late changes the
-    baseline, and all rows so far are given anew with the next revision. What a key holds is a subject's visits."""
+    """The rows of one subject, in all series. A series' rows wait until there is a day-0 value; a day-0 row that comes late
+    changes the baseline, and all rows so far are given anew with the next revision. What a key holds is a subject's visits:
+    a call for each subject, not for each of its series, as what a call costs outweighs the few rows of a series."""
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", ROW)
-        self.known = handle.getValueState("known", "baseline double, revision long")
+        self.rows = handle.getListState("rows", f"series string, {ROW}")
+        self.known = handle.getValueState("known", "series array<string>, baseline array<double>, revision array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(r), float(d), float(v)) for part in rows for r, d, v in zip(part["row_ord"], part["day"], part["value"])]
-        before, revision = self.known.get() if self.known.exists() else (None, 0)  # the baseline is null before the first
+        new = [(s, int(r), float(d), float(v)) for part in rows for s, r, d, v in zip(part["series"], part["row_ord"], part["day"], part["value"])]
+        state = self.known.get() if self.known.exists() else None
+        known = {s: (b, n) for s, b, n in zip(*state)} if state else {}
         self.rows.appendList(new)
-        held = [tuple(r) for r in self.rows.get()] if before is None or any(d == 0 for _, d, _ in new) else new
-        # without a new day-0 row the baseline stays, and only new rows are given
-        baseline = before if held is new else median([v for _, d, v in held if d == 0] or [0.0])
+        # without a new day-0 row the baseline stays, and only new rows are given; it is null before the first
+        changed = {s for s, _, d, _ in new if d == 0 or s not in known}
+        held: dict[str, list[tuple]] = {}
+        for row in [tuple(r) for r in self.rows.get()] if changed else []:
+            if row[0] in changed:
+                held.setdefault(row[0], []).append(row)
+        fresh: dict[str, list[tuple]] = {}
+        for row in new:
+            fresh.setdefault(row[0], []).append(row)
         if self.idle_ms:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        good = baseline is not None and baseline > 0
-        if good or (before or 0) > 0:
-            given = held if baseline != before else new
-            revision += baseline != before
-            self.known.update((float(baseline), int(revision)))
-            shown = baseline if good else None  # a baseline that is no longer positive takes its rows back
-            yield pd.DataFrame([(key[0], key[1], r, d, v, shown, v / shown if good else None, revision) for r, d, v in given], columns=["subject_id", "series", "row_ord", "day", "value", "baseline", "fold_rise", "revision"])
+        out, moved = [], False
+        for s, some in fresh.items():
+            before, revision = known.get(s, (None, 0))
+            baseline = median([v for _, _, d, v in held[s] if d == 0] or [0.0]) if s in changed else before
+            good = baseline is not None and baseline > 0
+            if good or (before or 0) > 0:
+                given = held[s] if baseline != before else some
+                revision += baseline != before
+                moved |= baseline != before
+                known[s] = (float(baseline), int(revision))
+                shown = baseline if good else None  # a baseline that is no longer positive takes its rows back
+                out += [(key[0], s, r, d, v, shown, v / shown if good else None, revision) for _, r, d, v in given]
+        if moved:
+            self.known.update(([*known], [b for b, _ in known.values()], [n for _, n in known.values()]))
+        if out:
+            yield pd.DataFrame(out, columns=["subject_id", "series", "row_ord", "day", "value", "baseline", "fold_rise", "revision"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.rows.clear()
@@ -68,7 +85,7 @@ def own_baseline(stream: DataFrame, idle_ms: int = 0) -> DataFrame:
     has = [c for c in FOLD_KEY if c in stream.columns]
     series = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in has])
     rows = stream.where("value IS NOT NULL AND day IS NOT NULL").select(F.coalesce(F.col("subject_id").cast("string"), F.lit("")).alias("subject_id"), series.alias("series"), "row_ord", F.col("day").cast("double").alias("day"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("subject_id", "series").transformWithStateInPandas(OwnBaseline(idle_ms), OUT, "Update", "ProcessingTime" if idle_ms else "None")
+    return rows.groupBy("subject_id").transformWithStateInPandas(OwnBaseline(idle_ms), OUT, "Update", "ProcessingTime" if idle_ms else "None")
 
 
 def latest(updates: DataFrame) -> DataFrame:
