@@ -44,6 +44,19 @@ def resolve(requests: DataFrame, studies: DataFrame) -> DataFrame:
     return requests.select("request_id").join(got, "request_id", "left").withColumn("refs", F.coalesce("refs", F.array()))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _hold(quotes: pd.Series, sources: pd.Series) -> pd.Series:
+    """Whether each quote of a text's list holds; the text is normalised once."""
+
+    def one(said, source) -> list[bool]:
+        if said is None or source is None:
+            return [False] * (0 if said is None else len(said))
+        whole = normal(source)
+        return [bool(normal(q)) and normal(q) in whole or verify(q, source)[0] for q in said]
+
+    return pd.Series([one(q, s) for q, s in zip(quotes, sources)])
+
+
 def extract(docs: DataFrame, max_findings: int = 6) -> DataFrame:
     """Studies from documents (doc_id, citation, year, doi, pmid, url, abstract, full_text) by rules.
 
@@ -52,18 +65,19 @@ def extract(docs: DataFrame, max_findings: int = 6) -> DataFrame:
     body = F.col("full_text")
     source = F.coalesce(F.nullif(F.col("abstract"), F.lit("")), body)
     numbered = F.transform(tx.sentences(source), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    hits = F.filter(numbered, lambda x: (F.size(tx.matching(x["s"], tx.TOPICS)) > 0) & x["s"].rlike("(?iU)" + tx.DOMAIN))
+    field = "(?iU)" + tx.DOMAIN
+    hits = F.filter(numbered, lambda x: x["s"].rlike(field) & (F.size(tx.matching(x["s"], tx.TOPICS)) > 0))
     made = F.transform(F.slice(hits, 1, max_findings), lambda x: F.struct(F.concat(F.col("doc_id"), F.lit("_r"), x["i"].cast("string")).alias("finding_id"), x["s"].alias("statement"), x["s"].alias("quote"), tx.matching(x["s"], tx.TOPICS).alias("tags"), F.lit("extractive_auto").alias("level")))
-    found = docs.select("*", F.explode_outer(made).alias("f"))
-    checked = found.withColumn("ok", quote_check(F.coalesce("f.quote", F.lit("")), body)["ok"])
-    kept = checked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct(F.regexp_extract("f.finding_id", r"(\d+)$", 1).cast("int").alias("i"), F.col("f").alias("f"))))).alias("k"))
-    d = docs.join(kept, "doc_id")
-    methods, assays = tx.matching(body, tx.METHODS), tx.matching(body, tx.ASSAYS)
+    # a text without a word of the field has no sentence with one; quotes are checked where the text lies
+    some = spread(docs).withColumns({"f": F.when(source.rlike(field), made), "m": tx.matching(body, tx.METHODS), "a": tx.matching(body, tx.ASSAYS)})
+    d = some.withColumn("ok", _hold(F.col("f.quote"), F.when(F.size("f") > 0, body)))
+    kept = F.coalesce(F.transform(F.filter(F.arrays_zip("f", "ok"), lambda x: x["ok"]), lambda x: x["f"]), F.array().cast(T.ArrayType(FINDING)))
+    methods, assays = F.col("m"), F.col("a")
     return d.select(
         F.concat(F.lit("auto_"), "doc_id").alias("study_id"), "citation", F.coalesce("year", F.lit(0)).alias("year"), "doi", "pmid", "url",
         tx.pathogen(body).alias("pathogen"), tx.vaccines(body).alias("vaccines"), methods.alias("sampling_methods"), tx.method_compartments(methods).alias("compartments"),
         F.filter(tx.timeframe_days(F.col("abstract")), lambda x: x.between(0, 730)).alias("timepoints_days"), assays.alias("assays"), "abstract",
-        F.transform("k", lambda x: x["f"]).alias("findings"),
+        kept.alias("findings"),
         F.filter(F.array(F.when(F.size(methods) == 0, F.lit("sampling_method")), F.when(F.size(assays) == 0, F.lit("assay"))), lambda x: x.isNotNull()).alias("not_reported"),
         F.lit("extractive_auto").alias("level"),
     )
