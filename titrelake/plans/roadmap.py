@@ -12,6 +12,8 @@ from ..functions.math import month_bucket, week_start
 from ..functions.text import owner
 from ..operators.comparability import audit, verdicts
 from ..operators.kinetics import fits as fitted
+from ..schema import CONTEXT, SERIES_KEY
+from ..session import written
 from .agent import Run
 
 
@@ -96,14 +98,16 @@ def build(run: Run, studies: DataFrame, data: DataFrame | None = None, fits: Dat
     named = todo.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i") <= SHOWN, F.struct("i", "study_id")))), lambda x: x["study_id"]), ", ").alias("ids"))
     parts.append(_task(named.where("n > 0"), "placeholder", 0, F.concat(F.lit("verify "), n, F.lit(" placeholders: "), "ids")))
     if data is not None:
-        seen = audit(data)
+        used = dict.fromkeys((*CONTEXT, *SERIES_KEY, "subject_id", "day", "value", "row_ord", "below_lloq"))
+        data = written(data.select(*[c for c in used if c in data.columns]), "data")  # read by audit, verdicts and fits
+        seen = written(audit(data).select("n_timepoints", "below_lloq"), "audit")
         bad = verdicts(data).agg(F.count_if(F.col("level") == 2).alias("n")).where("n > 0")
         thin, below = seen.agg(F.count_if(F.col("n_timepoints") < FEW_TIMEPOINTS).alias("n")).where("n > 0"), seen.agg(F.sum("below_lloq").alias("n")).where("n > 0")
         parts += [_task(bad, "pairs", 0, F.concat(F.lit("harmonise the "), n, F.lit(" pairs of series that may not be compared")))]
         parts += [_task(thin, "thin", 1, F.concat(F.lit("add timepoints to "), n, F.lit(" thin series")))]
         parts += [_task(below, "floor", 2, F.concat(F.lit("state how the "), n, F.lit(" values below the floor are handled")))]
         by = ["compartment", "method"]
-        given = fits if fits is not None else fitted(data, by, n_boot=REPLICATES)
+        given = fits if fits is not None else fitted(data, by, n_boot=REPLICATES, raw=False)
         wide = given.where((F.col("half_life_days") > 0) & (F.col("ci_half_life.hi") > WIDE * F.col("half_life_days"))).select(F.concat_ws("/", *by).alias("key")).distinct()
         wide = wide.withColumn("i", F.row_number().over(Window.orderBy("key")))  # as many rows as devices
         parts.append(_task(wide, "late", F.col("i") + 2, F.concat(F.lit("add a late visit for "), "key")))
