@@ -58,16 +58,20 @@ class Run:
         return json.dumps({"text": self.text, "scenario": sc.flat(self.scenario), "days": self.plan.days, "checks": self.checks, "issues": self.issues, "revisions": self.revisions, "trace": self.trace})
 
 
+def retrieved(questions: DataFrame, studies: DataFrame, k: int = 2) -> DataFrame:
+    """(qid, rank, chunk_id, study_id, text, fused): the k best citable chunks for each of the questions (qid, text)."""
+    chunks = se.chunks(studies).withColumn("id", F.to_json("chunk_ord"))
+    scores = se.bm25(se.terms(questions, "qid", "text"), se.terms(chunks, "id", "text"), "qid", "id")
+    hits = se.top(se.fuse([se.ranked(scores, "qid", "id")], chunks, "qid", "id"), "qid", "id", k, citable_only=True)
+    return hits.join(chunks.select("id", "chunk_id", "study_id", "text"), "id").select("qid", "rank", "chunk_id", "study_id", "text", "fused")
+
+
 def retrieve(questions: list[str], studies: DataFrame, most: int = 5, k: int = 2) -> list[dict]:
     """The k best citable chunks for each of the first `most` questions."""
     if not questions:
         return []
-    spark = studies.sparkSession
-    chunks = se.chunks(studies).withColumn("id", F.to_json("chunk_ord"))
-    q = spark.createDataFrame(list(enumerate(questions[:most])), "qid int, text string")
-    scores = se.bm25(se.terms(q, "qid", "text"), se.terms(chunks, "id", "text"), "qid", "id")
-    hits = se.top(se.fuse([se.ranked(scores, "qid", "id")], chunks, "qid", "id"), "qid", "id", k, citable_only=True)
-    return [r.asDict() for r in hits.join(chunks.select("id", "chunk_id", "study_id", "text"), "id").select("qid", "rank", "chunk_id", "study_id", "text", "fused").orderBy("qid", "rank").collect()]
+    q = studies.sparkSession.createDataFrame(list(enumerate(questions[:most])), "qid int, text string")
+    return [r.asDict() for r in retrieved(q, studies, k).orderBy("qid", "rank").collect()]
 
 
 def run(text: str, studies: DataFrame, max_steps: int = 12, max_revisions: int = 1) -> Run:
